@@ -57,7 +57,7 @@ def bids_of(numbered: DataFrame, now: datetime, shift: int) -> DataFrame:
     return bid_from_entity(entities)
 
 
-def harvest(
+def stage_batch(
     warehouse: Warehouse,
     sources: DataFrame,
     provided: DataFrame,
@@ -66,17 +66,14 @@ def harvest(
     now: datetime,
     mode: str = "append",
 ) -> bool:
-    """Run one harvest batch; True when something was published.
+    """Write a batch without committing it; False when there is nothing to write.
 
-    ``append`` stores everything provided, again on every run. ``idempotent``
-    stores only what is not stored yet. No rows: nothing is committed and that
-    is no error. A batch id that is already committed is not run again.
+    ``append`` takes everything provided, again on every run. ``idempotent``
+    takes only what is not stored yet.
     """
     if mode not in ("append", "idempotent"):
         raise ValueError(f"mode must be 'append' or 'idempotent', not {mode!r}")
     prepared = prepare(provided, sources, codes)
-    if warehouse.is_committed(batch_id):
-        return False
     if mode == "idempotent":
         prepared = unseen(staged(prepared, "provided"), warehouse.read("raw_items"))
     last_raw, last_bid = warehouse.last_ids()
@@ -85,5 +82,28 @@ def harvest(
         return False
     warehouse.stage("raw_items", batch_id, raw_from_entity(numbered))
     warehouse.stage("bids", batch_id, bids_of(numbered, now, last_bid - last_raw))
+    return True
+
+
+def harvest(
+    warehouse: Warehouse,
+    sources: DataFrame,
+    provided: DataFrame,
+    codes: DataFrame,
+    batch_id: str,
+    now: datetime,
+    mode: str = "append",
+) -> bool:
+    """Run one harvest batch for a set of source codes; True when something was published.
+
+    An unknown code is an error and nothing is written. No rows: nothing is
+    committed and that is no error. A batch id that is committed already is not
+    run again.
+    """
+    if warehouse.is_committed(batch_id):
+        require_codes(codes, sources)
+        return False
+    if not stage_batch(warehouse, sources, provided, codes, batch_id, now, mode):
+        return False
     warehouse.commit(batch_id, now)
     return True
