@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidflow.functions.text import tokens
 from bidflow.operators.skew import HOT_ROWS, attach_group, salted_join
@@ -31,8 +32,7 @@ def shingles(words: Column, size: int = 3) -> Column:
     return F.array_distinct(runs)
 
 
-@F.pandas_udf("array<long>")
-def band_keys(sets: pd.Series) -> pd.Series:
+def band_keys(sets: Column) -> Column:
     """MinHash of a hash set, folded to one key per band."""
     scale, shift = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 
@@ -48,7 +48,12 @@ def band_keys(sets: pd.Series) -> pd.Series:
             folded ^= folded >> np.uint64(29)
         return folded.view(np.int64)
 
-    return sets.map(keys)
+    # Defined here, not in the module, so that tasks need no copy of this package.
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def fold(column: pd.Series) -> pd.Series:
+        return column.map(keys)
+
+    return fold(sets)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,7 +111,7 @@ def near_links(
         "gate",
         "price",
         F.size("shingles").alias("n"),
-        F.posexplode(band_keys("shingles")).alias("band", "key"),
+        F.posexplode(band_keys(F.col("shingles"))).alias("band", "key"),
     )
     # One bucket per band, band key and gate; kept thin, the shingles stay behind.
     open_rows = staged(

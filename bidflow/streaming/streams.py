@@ -73,45 +73,46 @@ ALERT = T.StructType(
 )
 
 
-class _Silence(StatefulProcessor):
-    """Remembers when a source was last heard; alerts on gaps longer than the limit."""
-
-    def __init__(self, limit_ms: int):
-        self.limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
-
-    def _alert(self, key, last_ms: int) -> pd.DataFrame:
-        seen = pd.Timestamp(last_ms, unit="ms")
-        return pd.DataFrame(
-            {
-                "source_id": [key[0]],
-                "last_seen": [seen],
-                "silent_since": [seen + pd.Timedelta(milliseconds=self.limit_ms)],
-            }
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        heard = pd.concat(list(rows)).sort_values("first_ms")
-        last = self.last.get()[0] if self.last.exists() else None
-        for first_ms, last_ms in zip(heard["first_ms"].tolist(), heard["last_ms"].tolist()):
-            if last is not None and first_ms - last > self.limit_ms:
-                yield self._alert(key, last)
-            last = last_ms if last is None else max(last, last_ms)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.last.update((last,))
-        self.handle.registerTimer(last + self.limit_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._alert(key, self.last.get()[0])
-        # Heard again later, the same gap must not be reported a second time.
-        self.last.clear()
-
-    def close(self) -> None:
-        pass
+def _silence(limit_ms: int) -> StatefulProcessor:
+    # Defined inside a function so that tasks need no copy of this package.
+    class Silence(StatefulProcessor):
+        """Remembers when a source was last heard; alerts on gaps longer than the limit."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
+
+        def _alert(self, key, last_ms: int) -> pd.DataFrame:
+            seen = pd.Timestamp(last_ms, unit="ms")
+            return pd.DataFrame(
+                {
+                    "source_id": [key[0]],
+                    "last_seen": [seen],
+                    "silent_since": [seen + pd.Timedelta(milliseconds=limit_ms)],
+                }
+            )
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            heard = pd.concat(list(rows)).sort_values("first_ms")
+            last = self.last.get()[0] if self.last.exists() else None
+            for first_ms, last_ms in zip(heard["first_ms"].tolist(), heard["last_ms"].tolist()):
+                if last is not None and first_ms - last > limit_ms:
+                    yield self._alert(key, last)
+                last = last_ms if last is None else max(last, last_ms)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((last,))
+            self.handle.registerTimer(last + limit_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield self._alert(key, self.last.get()[0])
+            # Heard again later, the same gap must not be reported a second time.
+            self.last.clear()
+
+        def close(self) -> None:
+            pass
+
+    return Silence()
 
 
 def silence_alerts(items: DataFrame, when: str, limit_minutes: int, lateness: str, step: str = "10 minutes") -> DataFrame:
@@ -128,7 +129,7 @@ def silence_alerts(items: DataFrame, when: str, limit_minutes: int, lateness: st
         .select("source_id", "first_ms", "last_ms", F.window_time("window").alias("at"))
     )
     return heard.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_Silence(limit_minutes * 60_000),
+        statefulProcessor=_silence(limit_minutes * 60_000),
         outputStructType=ALERT,
         outputMode="Append",
         timeMode="EventTime",
