@@ -378,11 +378,11 @@ def stream_sliding_counts(d: Domain) -> DataFrame:
     return _windows(d, "2 hours")
 
 
-@query(f"""with e as (select epoch_ms(ts) as ms, user_id % 20 + 1 as source_id from events),
+@query(f"""with e as (select epoch_us(ts) // 1000 as ms, user_id % 20 + 1 as source_id from events),
   g as (select source_id, ms, lead(ms) over (partition by source_id order by ms) as next_ms from e),
   a as (select source_id, make_timestamp(ms * 1000) as last_seen, make_timestamp((ms + 10800000) * 1000) as silent_since from g
-    where next_ms - ms > 10800000
-      or (next_ms is null and ms + 10800000 <= (select epoch_ms(max(ts) - interval 1 hour) from events)))
+    where (next_ms is null or next_ms - ms > 10800000)
+      and ms + 10800000 <= (select epoch_us(max(ts)) // 1000 - 3600000 from events))
   select source_id, {ts('last_seen', 'silent_since')} from a""")
 def stream_silence_alerts(d: Domain) -> DataFrame:
     """An alert for every three hours of silence of a source."""

@@ -26,7 +26,10 @@ _SEEDS = np.random.default_rng(20240101).integers(1, 2**63, size=(2, BANDS * BAN
 
 
 def shingles(words: Column, size: int = 3) -> Column:
-    """Distinct 64-bit hashes of all runs of ``size`` words (of the whole text if shorter)."""
+    """Distinct 64-bit hashes of all runs of ``size`` words (of the whole text if shorter).
+
+    ``words`` must be a stored column: an expression would be run once per word.
+    """
     last = F.greatest(F.size(words) - size, F.lit(0))
     runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
     return F.array_distinct(runs)
@@ -172,9 +175,9 @@ def near_duplicates(
         "id",
         F.to_json(F.struct(*[F.lower(F.col(c)).alias(c) for c in route])).alias("gate"),
         F.col("price_value").alias("price"),
-        F.array_join(words, " ").alias("text"),
+        words.alias("words"),
     )
-    folded = F.sha2(F.concat_ws("\n", "gate", F.coalesce(F.col("price").cast("string"), F.lit("-")), "text"), 256)
+    folded = F.sha2(F.to_json(F.struct("gate", "price", F.array_join("words", " ").alias("text"))), 256)
     keyed = staged(rows.withColumn("copy", folded), "texts")
     copies = staged(
         keyed.groupBy("copy").agg(
@@ -182,13 +185,13 @@ def near_duplicates(
             F.min("id").alias("rep"),
             F.first("gate").alias("gate"),
             F.first("price").alias("price"),
-            F.first("text").alias("text"),
+            F.first("words").alias("words"),
         ),
         "copies",
     )
     texts = staged(
         copies.select(
-            F.col("rep").alias("id"), "gate", "price", shingles(F.split("text", " ")).alias("shingles")
+            F.col("rep").alias("id"), "gate", "price", shingles(F.col("words")).alias("shingles")
         ),
         "shingles",
     )

@@ -18,6 +18,9 @@ from bidflow.shared import staged
 # Order in which new raw items get their ids.
 INSERT_ORDER = ("source_id", "external_id", "_hash", "received_at", "url")
 
+# A batch over more days than this is regrouped by day before it is written.
+MANY_DAYS = 8
+
 
 def unseen(provided: DataFrame, stored: DataFrame) -> DataFrame:
     """Provided items not stored yet under the same source, external id and content.
@@ -78,9 +81,10 @@ def stage_batch(
         prepared = unseen(staged(prepared, "provided"), warehouse.read("raw_items"))
     last_raw, last_bid = warehouse.last_ids()
     numbered = number_raw(prepared, after=last_raw)
-    if numbered.isEmpty():
+    days = numbered.agg(F.count_distinct(F.to_date("created_at"))).first()[0]
+    if days == 0:
         return False
-    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered))
+    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered), many_days=days > MANY_DAYS)
     warehouse.stage("bids", batch_id, bids_of(numbered, now, last_bid - last_raw))
     return True
 

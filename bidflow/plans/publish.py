@@ -45,16 +45,20 @@ class Warehouse:
 
     # --- batches ---
 
-    def stage(self, table: str, batch_id: str, rows: DataFrame) -> None:
+    def stage(self, table: str, batch_id: str, rows: DataFrame, many_days: bool = False) -> None:
         """Write one table's part of a batch. Invisible until ``commit``.
 
         Re-running a batch that was not committed replaces its files. Rows are
         laid out by creation day so that ``since`` reads prune whole folders;
         inside a file they lie by source and time for row-group pruning.
+        ``many_days`` regroups the rows by day before writing (AQE splits the
+        large days), or else every task would open a file for every day.
         """
+        parted = rows.withColumn("created_part", F.to_date("created_at"))
+        if many_days:
+            parted = parted.hint("rebalance", F.col("created_part"))
         (
-            rows.withColumn("created_part", F.to_date("created_at"))
-            .sortWithinPartitions("created_part", "source_id", "created_at")
+            parted.sortWithinPartitions("created_part", "source_id", "created_at")
             .write.mode("overwrite")
             .partitionBy("created_part")
             .parquet(f"{self.root}/{table}/batch_id={batch_id}")
