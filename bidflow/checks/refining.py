@@ -64,7 +64,8 @@ def dates(d: Domain) -> DataFrame:
         .otherwise(F.concat(F.lit("вчера, в "), F.date_format(when + F.expr("interval '3:07' hour to minute"), "HH:mm")))
     )
     received = when + F.when(F.col("o_orderkey") % 5 == 4, F.expr("interval '1 5' day to hour")).otherwise(F.expr("interval '0 5' day to hour"))
-    return d.given("orders").select("o_orderkey", values.moment(written, received).alias("read_at"))
+    texts = d.given("orders").select("o_orderkey", values.clean(written).alias("text"), received.alias("received"))
+    return texts.select("o_orderkey", values.moment(F.col("text"), F.col("received")).alias("read_at"))
 
 
 @query("""select l_orderkey, l_linenumber, l_shipdate is not null as dated,
@@ -86,9 +87,13 @@ def prices_and_weights(d: Domain) -> DataFrame:
         .when(n == 1, F.concat((tons * 1000).cast("decimal(14,0)").cast("string"), F.lit(" кг")))
         .otherwise(F.concat(F.lit("вес "), tons.cast("string"), F.lit("тонн")))
     )
-    return d.given("lineitem").select(
+    texts = d.given("lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_shipdate").isNotNull().alias("dated"),
-        values.price(price).alias("price"), values.currency(price).alias("currency"), values.weight_tons(weight).alias("tons"),
+        values.clean(price).alias("price"), values.clean(weight).alias("weight"),
+    )
+    return texts.select(
+        "l_orderkey", "l_linenumber", "dated", values.price(F.col("price")).alias("price"),
+        values.currency(F.col("price")).alias("currency"), values.weight_tons(F.col("weight")).alias("tons"),
     )
 
 
@@ -133,8 +138,8 @@ def routes(d: Domain) -> DataFrame:
     far = F.when(F.col("id") % 10 == 9, "Elsewhere").otherwise(F.replace("unload_location", F.lit("NATION_"), F.lit("n")))
     dash = F.when(F.col("id") % 2 == 0, F.lit(" — ")).otherwise(F.lit(" - "))
     written = d.bids.select("id", F.concat(F.lit("г. "), near_name, dash, far).alias("route"))
-    ends = written.select(
-        "id", values.route_end(F.col("route"), 0).alias("load_location"), values.route_end(F.col("route"), 1).alias("unload_location")
+    ends = written.select("id", values.route_places(F.col("route")).alias("places")).select(
+        "id", F.element_at("places", 1).alias("load_location"), F.element_at("places", -1).alias("unload_location")
     )
     known = places(d)
     return locate(locate(ends, known, "load_location", "load_region"), known, "unload_location", "unload_region").select(

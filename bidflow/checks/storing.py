@@ -23,7 +23,7 @@ from bidflow.plans.health import harvest_due
 from bidflow.plans.publish import Warehouse
 from bidflow.plans.refine import reprocess
 from bidflow.schemas import RAW_ITEMS
-from bidflow.shared import new_path, staged
+from bidflow.shared import new_path
 from bidflow.sources import providers
 from bidflow.streaming import streams
 
@@ -188,7 +188,7 @@ def unseen_items(d: Domain) -> DataFrame:
     """Provided items that are not among the stored German ones."""
     filled = mapping.backfill_source(landed(d), d.sources)
     german = _landed_columns(d.given("documents").where("lang = 'de'"))
-    fresh = unseen(staged(filled, "provided"), mapping.backfill_source(german, d.sources))
+    fresh = unseen(filled, mapping.backfill_source(german, d.sources))
     return fresh.select("source_code", "source_id", "external_id", "payload", "url")
 
 

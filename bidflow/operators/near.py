@@ -1,10 +1,12 @@
 """Near duplicates: texts that share most of their word triples.
 
-Texts meet in MinHash band buckets; inside a bucket everyone is compared with
-the bucket's leader (its smallest id), and those who are not similar to it go
-on to the next round with a leader of their own. So no bucket ever produces all
-its pairs, nothing is dropped, and every link is confirmed by the exact Jaccard
-similarity of the whole texts. Groups are the connected parts of these links.
+Texts meet in MinHash band buckets, and everyone in a bucket is compared with
+its leader, the smallest id. Who is not similar to the leader meets a narrower
+bucket of the same band next, with a leader of its own: crowds of loosely alike
+texts fall apart into ever closer ones. The number of levels is fixed, so the
+number of comparisons is at most texts x bands x levels; no bucket produces all
+its pairs. Every link is confirmed by the exact Jaccard similarity of the whole
+texts. Groups are the connected parts of the links.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from bidflow.functions.text import tokens
 from bidflow.operators.skew import HOT_ROWS, attach_group, salted_join
 from bidflow.shared import staged
 
-BANDS, BAND_ROWS = 16, 4
-_SEEDS = np.random.default_rng(20240101).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
+# 64 minima; band b starts at minimum 4 * b and takes as many as its level says.
+BANDS, STEP, LEVELS = 16, 4, (4, 8, 16, 32)
+_SEEDS = np.random.default_rng(20240101).integers(1, 2**63, size=(2, BANDS * STEP), dtype=np.uint64)
 
 
 def shingles(words: Column, size: int = 3) -> Column:
@@ -36,23 +39,27 @@ def shingles(words: Column, size: int = 3) -> Column:
 
 
 def band_keys(sets: Column) -> Column:
-    """MinHash of a hash set, folded to one key per band."""
+    """MinHash of a hash set: per band one key for each level, widest bucket first."""
     scale, shift = _SEEDS[0] | np.uint64(1), _SEEDS[1]
+    spread, fold_in = np.uint64(33), np.uint64(29)
+    mix, golden = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
-    def keys(values) -> np.ndarray:
+    def keys(values) -> list[np.ndarray]:
         h = np.asarray(values, dtype=np.int64).view(np.uint64)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
-        # The high bits of the product are the well mixed ones.
+        h = (h ^ (h >> spread)) * mix
+        h ^= h >> spread
+        # One minimum at a time keeps the memory at one copy of the set.
         least = np.array([((h * a + b) >> np.uint64(16)).min() for a, b in zip(scale, shift)], dtype=np.uint64)
-        folded = np.zeros(BANDS, dtype=np.uint64)
-        for column in least.reshape(BANDS, BAND_ROWS).T:
-            folded = (folded ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            folded ^= folded >> np.uint64(29)
-        return folded.view(np.int64)
+        folded, out = np.zeros(BANDS, dtype=np.uint64), []
+        for used in range(1, max(LEVELS) + 1):
+            folded = (folded ^ np.roll(least, 1 - used)[::STEP]) * golden
+            folded ^= folded >> fold_in
+            if used in LEVELS:
+                out.append(folded.view(np.int64))
+        return list(np.array(out).T)
 
     # Defined here, not in the module, so that tasks need no copy of this package.
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
     def fold(column: pd.Series) -> pd.Series:
         return column.map(keys)
 
@@ -109,33 +116,36 @@ def near_links(
     texts: DataFrame, threshold: float, price_tolerance: float | None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Confirmed (id, leader) links among ``texts`` (id, gate, price, shingles)."""
-    banded = texts.select(
-        "id",
-        "gate",
-        "price",
-        F.size("shingles").alias("n"),
-        F.posexplode(band_keys(F.col("shingles"))).alias("band", "key"),
-    )
-    # One bucket per band, band key and gate; kept thin, the shingles stay behind.
+    # Kept thin: the shingles stay behind.
     open_rows = staged(
-        banded.select("id", "price", "n", F.xxhash64("band", "key", "gate").alias("bucket")), "buckets"
+        texts.select(
+            "id",
+            "gate",
+            "price",
+            F.size("shingles").alias("n"),
+            F.posexplode(band_keys(F.col("shingles"))).alias("band", "keys"),
+        ).select("id", "price", "n", "keys", F.xxhash64("band", "gate").alias("place")),
+        "bands",
     )
     wide = texts.select(F.col("id").alias("leader"), F.col("shingles").alias("leader_shingles"))
     links = None
-    while True:
+    for level in range(len(LEVELS)):
+        rows = open_rows.withColumn("bucket", F.xxhash64("place", F.get("keys", F.lit(level))))
         buckets = (
-            open_rows.groupBy("bucket")
+            rows.groupBy("bucket")
             .agg(F.count("*").alias("n_rows"), F.min("id").alias("leader"))
             .where("n_rows > 1")
         )
         leaders = buckets.join(
-            open_rows.select("bucket", F.col("id").alias("leader"), F.col("price").alias("lprice"), F.col("n").alias("ln")),
+            rows.select("bucket", F.col("id").alias("leader"), F.col("price").alias("lprice"), F.col("n").alias("ln")),
             ["bucket", "leader"],
         )
-        met = attach_group(open_rows, leaders, ["bucket"], "inner", hot_rows=hot_rows).where(F.col("id") != F.col("leader"))
-        met = staged(met.drop("n_rows"), "met")
-        if met.isEmpty():
-            break
+        met = staged(
+            attach_group(rows, leaders, ["bucket"], "inner", hot_rows=hot_rows)
+            .where(F.col("id") != F.col("leader"))
+            .drop("bucket", "n_rows"),
+            "met",
+        )
         possible = F.least("n", "ln") >= F.greatest("n", "ln") * threshold
         if price_tolerance is not None:
             spread = F.abs(F.col("price") - F.col("lprice"))
@@ -143,18 +153,21 @@ def near_links(
             possible = possible & (near_price | (F.col("price").isNull() & F.col("lprice").isNull()))
         pairs = staged(met.where(possible).select("id", "leader").distinct(), "pairs")
         sizes = pairs.groupBy("leader").agg(F.count("*").alias("n_rows"))
-        similar = (
-            salted_join(pairs.join(texts.select("id", "shingles"), "id"), wide, "leader", sizes, "id", hot_rows)
+        found = staged(
+            salted_join(
+                pairs.join(texts.select("id", "shingles"), "id"), wide, sizes, ["leader"], hot_rows=hot_rows
+            )
             .where(jaccard(F.col("shingles"), F.col("leader_shingles")) >= threshold)
-            .select("id", "leader")
+            .select("id", "leader"),
+            "links",
         )
-        found = staged(similar, "links")
         links = found if links is None else links.unionAll(found)
-        open_rows = staged(
-            met.join(found, ["id", "leader"], "left_anti").select("id", "price", "n", "bucket"), "buckets"
-        )
-    empty = texts.sparkSession.createDataFrame([], "id long, leader long")
-    return empty if links is None else links
+        open_rows = met.join(found, ["id", "leader"], "left_anti").select("id", "price", "n", "keys", "place")
+        if level + 1 < len(LEVELS):
+            open_rows = staged(open_rows, "open")
+            if open_rows.isEmpty():
+                break
+    return links
 
 
 def near_duplicates(

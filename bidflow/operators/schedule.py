@@ -33,7 +33,7 @@ def job_state(jobs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
     # The failed runs of a busy source meet its one row without being gathered.
     since_good = (
-        attach_group(runs.where(failed), last.drop("last"), ["source_id"], "inner", hot_rows=hot_rows)
+        attach_group(runs.where(failed), last.select("source_id", "n_rows", "last_good"), ["source_id"], "inner", hot_rows=hot_rows)
         .where(F.col("last_good").isNull() | (place > F.col("last_good")))
         .groupBy("source_id")
         .agg(F.count("*").alias("failures"))

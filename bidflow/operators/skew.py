@@ -5,17 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidflow.shared import staged
+
 # A key outside the HOT_KEYS largest holds at most 1/HOT_KEYS of the rows, so a
-# plain shuffle join handles it; the largest ones are at most HOT_KEYS rows.
+# plain shuffle join handles it; the list of the largest is at most HOT_KEYS rows.
 HOT_KEYS = 1024
 HOT_ROWS = 200_000
 
+# Rows without a key match nothing; they are spread over this many slices.
+LOOSE_SLICES = 4096
+
 
-def _all(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def salted_join(
+    rows: DataFrame,
+    unique: DataFrame,
+    sizes: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    spread_by: Sequence[str] = ("id",),
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join to a side with one row per key, with large keys cut into slices.
+
+    ``sizes`` has the keys and ``n_rows``, the number of ``rows`` under each. The
+    rows of a large key go to slices by a hash of ``spread_by`` (columns that
+    tell them apart) and its one row of ``unique`` is copied to every slice.
+    Only the list of large keys is broadcast, never what hangs on them.
+    """
+    keys = list(keys)
+    hot = (
+        sizes.where(F.col("n_rows") >= hot_rows)
+        .orderBy(F.desc("n_rows"), *keys)
+        .limit(HOT_KEYS)
+        .select(*keys, F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("int").alias("_slices"))
+    )
+    slices = F.coalesce("_slices", F.lit(1))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    place = F.pmod(F.hash(*spread_by), F.when(keyed, slices).otherwise(LOOSE_SLICES))
+    cut = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", place).drop("_slices")
+    copies = (
+        unique.join(F.broadcast(hot), keys, "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .drop("_slices")
+    )
+    return cut.join(copies, [*keys, "_slice"], how).drop("_slice")
 
 
 def attach_group(
@@ -23,34 +59,17 @@ def attach_group(
     groups: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    size: str = "n_rows",
+    spread_by: Sequence[str] = ("id",),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join each row to the single ``groups`` row of its key.
+    """Join each row to the row of its group; ``groups`` counts its rows in ``n_rows``.
 
-    ``groups`` has one row per key and in ``size`` the number of ``rows`` under
-    that key. Rows of the largest keys meet their group through a broadcast of
-    at most ``HOT_KEYS`` group rows and are never shuffled; all others go
-    through an ordinary shuffle join; rows with a NULL key match nothing and are
-    not shuffled either. ``how`` is ``left`` or ``inner``.
+    The groups come from an aggregation that the join needs twice (for the large
+    keys and for the rows), so they are written out first. ``how`` is ``left`` or
+    ``inner``; a NULL key matches nothing.
     """
-    keys = list(keys)
-    added = [c for c in groups.columns if c not in keys]
-    out = rows.columns + added
-    hot = (
-        groups.where(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(HOT_KEYS)
-    )
-    keyed = rows.where(_all([F.col(k).isNotNull() for k in keys]))
-    parts = [
-        keyed.join(F.broadcast(hot), keys, "inner").select(out),
-        keyed.join(F.broadcast(hot.select(keys)), keys, "left_anti")
-        .join(groups, keys, how)
-        .select(out),
-    ]
-    if how == "left":
-        nothing = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in added]
-        parts.append(rows.where(~_all([F.col(k).isNotNull() for k in keys])).select("*", *nothing))
-    return reduce(DataFrame.unionAll, parts)
+    groups = staged(groups, "groups")
+    return salted_join(rows, groups, groups, keys, how, spread_by, hot_rows)
 
 
 def left_join_optional(
@@ -68,33 +87,3 @@ def left_join_optional(
     )
     loose = child.where(F.col(foreign_key).isNull()).select("*", *nothing)
     return linked.unionAll(loose)
-
-
-def salted_join(
-    rows: DataFrame,
-    unique: DataFrame,
-    key: str,
-    sizes: DataFrame,
-    spread_by: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Inner join on ``key`` with a side that has one (possibly wide) row per key.
-
-    ``sizes`` has ``key`` and ``n_rows``, the number of ``rows`` under it. A large
-    key is cut into slices by a hash of ``spread_by`` and its one row is copied to
-    each slice. Only the list of large keys is broadcast, never the wide rows.
-    """
-    hot = (
-        sizes.where(F.col("n_rows") >= hot_rows)
-        .orderBy(F.desc("n_rows"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("int").alias("_slices"))
-    )
-    slices = F.coalesce("_slices", F.lit(1))
-    cut = rows.join(F.broadcast(hot), key, "left").withColumn("_slice", F.pmod(F.hash(spread_by), slices)).drop("_slices")
-    copies = (
-        unique.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
-    )
-    return cut.join(copies, [key, "_slice"]).drop("_slice")

@@ -23,23 +23,21 @@ MANY_DAYS = 8
 
 
 def unseen(provided: DataFrame, stored: DataFrame) -> DataFrame:
-    """Provided items not stored yet under the same source, external id and content.
+    """Provided items not stored yet under the same source, external id and content."""
 
-    ``provided`` must be cheap to read twice (a staged table or a file scan).
-    """
-    def key(df: DataFrame):
+    def key(df: DataFrame) -> DataFrame:
         # Field names keep NULL apart from every text, so NULL matches NULL.
-        return F.to_json(F.struct("source_id", "external_id", content_hash(F.col("payload")).alias("hash")))
+        content = content_hash(F.col("payload")).alias("hash")
+        return df.withColumn("_key", F.to_json(F.struct("source_id", "external_id", content)))
 
-    rows = provided.withColumn("_key", key(provided))
-    known = stored.select(key(stored).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    # Only keys that are known can hit, so the counted groups shrink before the join back.
-    groups = rows.groupBy("_key").agg(F.count("*").alias("n_rows")).join(known, "_key")
-    return (
-        attach_group(rows, groups, ["_key"])
-        .where(F.col("_known").isNull())
-        .drop("_key", "_known", "n_rows")
+    # Copies may agree in every column; their place in the file tells them apart.
+    rows = staged(key(provided), "provided").select(
+        "*", F.hash("_metadata.file_path", "_metadata.row_index").alias("_place")
     )
+    known = key(stored).select("_key").distinct().withColumn("_known", F.lit(True))
+    groups = rows.groupBy("_key").agg(F.count("*").alias("n_rows")).join(known, "_key")
+    joined = attach_group(rows, groups, ["_key"], spread_by=["_place"])
+    return joined.where(F.col("_known").isNull()).select(*provided.columns)
 
 
 def prepare(provided: DataFrame, sources: DataFrame, codes: DataFrame) -> DataFrame:
@@ -78,7 +76,7 @@ def stage_batch(
         raise ValueError(f"mode must be 'append' or 'idempotent', not {mode!r}")
     prepared = prepare(provided, sources, codes)
     if mode == "idempotent":
-        prepared = unseen(staged(prepared, "provided"), warehouse.read("raw_items"))
+        prepared = unseen(prepared, warehouse.read("raw_items"))
     last_raw, last_bid = warehouse.last_ids()
     numbered = number_raw(prepared, after=last_raw)
     days = numbered.agg(F.count_distinct(F.to_date("created_at"))).first()[0]
