@@ -31,7 +31,7 @@ NOW = config.NOW
 START = datetime(2024, 1, 1)
 
 
-def _landed_columns(documents: DataFrame) -> DataFrame:
+def _landed_columns(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents as provided items: Spanish ones claim source 7, the others claim none."""
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
     k = F.floor(F.col("doc_id") / 20)
@@ -43,6 +43,7 @@ def _landed_columns(documents: DataFrame) -> DataFrame:
         F.when(F.col("lang") != "en", F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"))),
         F.lit(START) + minutes,
         F.when(F.col("lang") == "es", 7).otherwise(0),
+        keep,
     )
     return rows.withColumn("received_at", F.col("received_at") + F.make_dt_interval(mins=F.lit(5)))
 
@@ -351,8 +352,10 @@ def stream_harvest(d: Domain) -> DataFrame:
 @query(f"{LANDED} select distinct source_id, external_id from landed")
 def stream_dedup(d: Domain) -> DataFrame:
     """First item per source and external id; the lateness bound spans all items."""
-    items = mapping.backfill_source(_landed_columns(_stream(d, "documents", DOCUMENTS)), d.sources)
-    unique = streams.deduplicated(items, "10 years", ["url", "received_at", "payload"]).select("source_id", "external_id")
+    place = F.hash("_metadata.file_path", "_metadata.row_index").alias("_place")
+    landing = _stream(d, "documents", DOCUMENTS).select("*", place)
+    items = mapping.backfill_source(_landed_columns(landing, ("_place",)), d.sources)
+    unique = streams.deduplicated(items, "10 years", ["_place"]).select("source_id", "external_id")
     return streams.drain_to_table(unique, new_path(d.spark, "deduplicated"), new_path(d.spark, "checkpoint"))
 
 

@@ -16,8 +16,11 @@ def by_id(table: DataFrame, row_id: int) -> DataFrame:
 
 
 def by_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is asked for; unknown ids give nothing."""
-    return table.join(ids.select("id"), "id", "left_semi")
+    """Rows whose id is asked for; unknown ids give nothing.
+
+    Ids asked for many times are folded before the shuffle.
+    """
+    return table.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def source_by_code(sources: DataFrame, code: str) -> DataFrame:
@@ -26,7 +29,7 @@ def source_by_code(sources: DataFrame, code: str) -> DataFrame:
 
 
 def sources_by_codes(sources: DataFrame, codes: DataFrame) -> DataFrame:
-    return sources.join(codes.select("code"), "code", "left_semi")
+    return sources.join(codes.select("code").distinct(), "code", "left_semi")
 
 
 def all_sources(sources: DataFrame) -> DataFrame:

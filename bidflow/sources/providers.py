@@ -6,6 +6,7 @@ from networks happens elsewhere: these read what has landed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,12 @@ def provided(
     url: Column | None = None,
     received_at: Column | None = None,
     source_id: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Project any landed table to the PROVIDED columns; source id 0 means unset."""
+    """Project any landed table to the PROVIDED columns; source id 0 means unset.
+
+    ``keep`` names columns to carry along, such as the place of a row in its file.
+    """
     values = {
         "source_code": source_code,
         "source_id": F.lit(0) if source_id is None else source_id,
@@ -34,7 +39,7 @@ def provided(
         "created_at": received_at,
         "received_at": received_at,
     }
-    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in PROVIDED])
+    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in PROVIDED], *keep)
 
 
 def html_pages(pages: DataFrame, source_code: Column, received_at: Column) -> DataFrame:
