@@ -59,10 +59,11 @@ def test_dedup_across_batches_with_a_flood(spark, tmp_path):
 
 def test_window_counts_close_with_the_watermark(spark, tmp_path):
     at = [R.T0 + timedelta(minutes=m) for m in (1, 2, 11, 35)]
-    land(spark, tmp_path / "in", [[(1, t, i) for i, t in enumerate(at)], [(1, R.T0 + timedelta(minutes=3), 9)]], EVENT)
+    later = [[(1, R.T0 + timedelta(minutes=m), 10 + m)] for m in (36, 3)]
+    land(spark, tmp_path / "in", [[(1, t, i) for i, t in enumerate(at)], *later], EVENT)
     counts = streams.window_counts(arrive(spark, tmp_path / "in", EVENT), "at", "10 minutes", "5 minutes")
     out = streams.drain_to_table(counts, str(tmp_path / "out"), str(tmp_path / "c"))
-    # The last file is too late for its window; the window of minute 35 is still open.
+    # The last file is too late for its window; the window of minutes 35 and 36 is still open.
     assert {(r.window_start.minute, r.items) for r in out.collect()} == {(0, 2), (10, 1)}
 
 
