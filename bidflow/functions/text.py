@@ -48,8 +48,11 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(c, _BLANK, " "))
+    """Collapse runs of white space (the no-break and thin blanks too) to one blank and trim.
+
+    The short class matters: it is tried on every character of whole texts.
+    """
+    return F.trim(F.regexp_replace(c, "[\\s\\xa0\\u2000-\\u200a\\u202f]+", " "))
 
 
 def bid_title(name: Column, code: Column, external_id: Column, raw_id: Column) -> Column:

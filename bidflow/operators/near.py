@@ -25,6 +25,7 @@ from bidflow.shared import staged
 
 # 64 minima; band b starts at minimum 4 * b and takes as many as its level says.
 BANDS, STEP, LEVELS = 16, 4, (4, 8, 16, 32)
+SLICE = 4096
 _SEEDS = np.random.default_rng(20240101).integers(1, 2**63, size=(2, BANDS * STEP), dtype=np.uint64)
 
 
@@ -48,8 +49,11 @@ def band_keys(sets: Column) -> Column:
         h = np.asarray(values, dtype=np.int64).view(np.uint64)
         h = (h ^ (h >> spread)) * mix
         h ^= h >> spread
-        # One minimum at a time keeps the memory at one copy of the set.
-        least = np.array([((h * a + b) >> np.uint64(16)).min() for a, b in zip(scale, shift)], dtype=np.uint64)
+        # All minima at once, but over a slice of the set at a time to bound the memory.
+        least = np.full(len(scale), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for start in range(0, len(h), SLICE):
+            mixed = (h[start : start + SLICE] * scale[:, None] + shift[:, None]) >> np.uint64(16)
+            np.minimum(least, mixed.min(axis=1), out=least)
         folded, out = np.zeros(BANDS, dtype=np.uint64), []
         for used in range(1, max(LEVELS) + 1):
             folded = (folded ^ np.roll(least, 1 - used)[::STEP]) * golden
