@@ -1,5 +1,6 @@
 """Mappings, ids, publishing, harvest, upsert."""
 
+import json
 from datetime import datetime
 from decimal import Decimal
 
@@ -217,7 +218,7 @@ def test_config_seed_files(spark, tmp_path):
         ' "created_at": "2025-01-01T00:00:00", "updated_at": "2025-01-01T00:00:00"}\n'
     )
     row = read_config(spark, str(tmp_path)).first()
-    assert row.data == '{"keys":["a"]}' and row.created_at == R.T0 and row.is_active
+    assert json.loads(row.data) == {"keys": ["a"]} and row.created_at == R.T0 and row.is_active
 
 
 def test_every_declared_table_is_readable(spark, tmp_path):
