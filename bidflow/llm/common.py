@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 MASK = (1 << 64) - 1
@@ -31,6 +32,12 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def extended(schema: T.StructType, **kinds: str) -> T.StructType:
+    """The schema with more columns, given by name and SQL type."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items()]
+    return T.StructType([*schema.fields, *more])
+
+
 def total(df: DataFrame, expression: Column, default=0):
     """One number over all rows."""
     value = df.agg(expression).first()[0]

@@ -7,16 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm import line_dedup, mixing
-from bidflow.llm.common import table
+from bidflow.llm import fingerprints, language, line_dedup, mixing, quality, token_counts, toxicity
+from bidflow.llm.common import remainder, table
+from bidflow.shared import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    rows = staged(quality.with_statistics(docs.withColumn("held_out", held_out)), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(rows.where(~F.col("held_out")).join(labels, "doc_id"))
+    scored = rows.withColumn("score", quality.score(F.col("x"), model))
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.scored(docs, chain).drop("text")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.predicted(docs.drop("lang"), model)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs).select(
@@ -49,6 +86,11 @@ from d join s using (row_no)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_phrase_fingerprints": op2_phrase_fingerprints,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op7_toxicity": op7_toxicity,
+    "op10_language": op10_language,
     "op5_mix_sources": op5_mix_sources,
     "op8_line_dedup": op8_line_dedup,
 }
