@@ -174,7 +174,8 @@ def mixed(
     ).withColumn("overlap", F.least("end", high) - F.greatest("start", low))
     out = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
     more = (
-        cut.join(extra, ["n", "shard", "block"], "left")
+        # The planner takes the exploded blocks for as small as their shards and would broadcast them.
+        cut.join(extra.hint("merge"), ["n", "shard", "block"], "left")
         .groupBy(*out, "n", "shard", "start")
         .agg(F.sum(F.when(F.col("taken_once_more"), F.col("overlap")).otherwise(0)).alias("more"))
     )
