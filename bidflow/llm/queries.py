@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm import fingerprints, language, line_dedup, mixing, quality, token_counts, toxicity
+from bidflow.llm import fingerprints, language, line_dedup, lm, mixing, near_dedup, quality, token_counts, toxicity
 from bidflow.llm.common import remainder, table
 from bidflow.shared import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scores(docs.withColumn("held_out", remainder(F.col("doc_id"), 7) == 2))
+
+
 def op2_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +69,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).drop("id")
+
+
 OP8_SQL = """
 with d as (
   select row_number() over () as row_no, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
@@ -86,6 +96,7 @@ from d join s using (row_no)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
@@ -93,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op10_language": op10_language,
     "op5_mix_sources": op5_mix_sources,
     "op8_line_dedup": op8_line_dedup,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 TWINS: dict[str, str] = {"op8_line_dedup": OP8_SQL}
