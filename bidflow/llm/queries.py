@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm import fingerprints, language, line_dedup, lm, mixing, near_dedup, quality, token_counts, toxicity
+from bidflow.llm import decontamination, fingerprints, language, line_dedup, lm, mixing, near_dedup, quality, token_counts, toxicity
 from bidflow.llm.common import remainder, table
 from bidflow.shared import staged
 
@@ -52,6 +52,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
@@ -71,7 +77,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs).drop("id")
+    return near_dedup.near_duplicates(docs).drop("id", "class")
 
 
 OP8_SQL = """
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op10_language": op10_language,
     "op5_mix_sources": op5_mix_sources,

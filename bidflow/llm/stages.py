@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm import line_dedup, mixing
+from bidflow.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
+from bidflow.llm.common import table
+from bidflow.shared import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain of classifiers calls toxic go."""
+    docs = docs.select(*COLUMNS)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.scored(docs, chain).where(~F.col("toxic")).select(*COLUMNS)
+
+
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents go from all of them; every document stays with what is left."""
     return line_dedup.deduplicated(docs.select(*COLUMNS)).select(
@@ -21,6 +30,36 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     )
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: the one with the smallest id."""
+    docs = docs.select(*COLUMNS)
+    rows = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    same_rows = rows.groupBy("class", "id", "doc_id").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "id", "n")).alias("best")
+    kept = same_rows.groupBy("class").agg(best)
+    kept = kept.select(F.col("best.doc_id").alias("_id"), F.col("best.id").alias("_text"), F.col("best.n").alias("_n"))
+    kept = staged(kept, "near-kept")
+    keyed = docs.withColumn("_hash", near_dedup.text_id(F.col("text")))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        same = (keyed["_hash"] == some["_text"]) & keyed["doc_id"].eqNullSafe(some["_id"])
+        return keyed.join(some, same, "left_semi")
+
+    single = rows_of(kept.where("_n = 1")).select(*COLUMNS)
+    repeated = kept.where("_n > 1")
+    if repeated.isEmpty():
+        return single
+    # Rows equal in id and text: one of them.
+    return single.unionAll(rows_of(repeated).dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontamination.with_leaks(docs.select(*COLUMNS), benchmark)
+    return found.where(F.size("leaks") == 0).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, with how many it takes, repeats counted."""
     taken = mixing.mixed(docs).where("taken > 0").drop("source")

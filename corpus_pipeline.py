@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bidflow.llm.common import table
-from bidflow.llm.stages import deduplicate_lines, mix
+from bidflow.llm.stages import deduplicate_lines, drop_contaminated, drop_near_duplicates, drop_toxic, mix
 from bidflow.shared import staged
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", deduplicate_lines),
-    ("mixing sources", mix),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
 ]
 
 # Models, sketches and alignments have no SQL form.
