@@ -7,7 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidflow.schemas import CONFIG
+from bidflow.shared import new_path
+from bidflow.sources.tables import read_config
 
 NOW = datetime(2025, 12, 3, 10, 15, 0)
 
@@ -30,6 +31,11 @@ CLASSIFIERS = {
 }
 
 DEDUP = {"d1": {"keys": ["source_id", "external_id"], "null_policy": "skip", "window_days": 0, "keep": "first"}}
+DEDUP_TWICE = {
+    "by_place": {"keys": ["title", "contact_phone", "load_location"], "null_policy": "equal", "window_days": 30, "keep": "last"},
+    "by_sender": {"keys": ["source_id", "contact_phone", "title"], "null_policy": "skip", "window_days": 0, "keep": "first"},
+}
+ANTIBOT = {"delays": {"delay_ms": 250}, "agents": {"rotate": True}}
 
 EXPORTS = {
     "daily": {"columns": [], "rules": ["price_floor", "no_africa"], "format": "csv", "path": "daily"},
@@ -38,14 +44,17 @@ EXPORTS = {
 
 
 def config(spark: SparkSession, rows: dict[str, dict], inactive: dict[str, dict] | None = None) -> DataFrame:
-    """A configuration table of active rows, plus rows that are switched off."""
+    """A configuration table of active rows, plus rows that are switched off, by way of a JSON seed file."""
     active = [(code, True, data) for code, data in rows.items()]
     off = [(code, False, data) for code, data in (inactive or {}).items()]
-    table = [
-        (i, code, code, flag, json.dumps(data, ensure_ascii=False), NOW, NOW)
+    at = NOW.isoformat()
+    seed = [
+        (json.dumps({"id": i, "code": code, "name": code, "is_active": flag, "data": data, "created_at": at, "updated_at": at}),)
         for i, (code, flag, data) in enumerate(active + off, start=1)
     ]
-    return spark.createDataFrame(table, CONFIG)
+    path = new_path(spark, "seed")
+    spark.createDataFrame(seed, "value string").coalesce(1).write.text(path)
+    return read_config(spark, path)
 
 
 def filter_rules(spark: SparkSession) -> DataFrame:
@@ -62,3 +71,17 @@ def dedup_rules(spark: SparkSession) -> DataFrame:
 
 def exports(spark: SparkSession) -> DataFrame:
     return config(spark, EXPORTS)
+
+
+def antibot(spark: SparkSession) -> DataFrame:
+    return config(spark, ANTIBOT)
+
+
+# Rows of the tables above, switched-off ones last, as the SQL twins see them.
+CODES = {
+    "config_filter_rule": [*FILTER_RULES, "everything"],
+    "config_classifier": list(CLASSIFIERS),
+    "config_dedup": list(DEDUP),
+    "config_antibot": list(ANTIBOT),
+    "config_export": list(EXPORTS),
+}

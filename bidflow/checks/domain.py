@@ -161,6 +161,21 @@ class Domain:
     def tables(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in ("sources", "raw_items", "bids", "jobs", "errors")}
 
+    def all_tables(self) -> dict[str, DataFrame]:
+        """All twelve, with the configurations the queries use."""
+        from bidflow.checks import config, reporting
+
+        return {
+            **self.tables(),
+            "config_source": reporting.settings(self),
+            "config_filter_rule": config.filter_rules(self.spark),
+            "config_classifier": config.classifiers(self.spark),
+            "config_dedup": config.dedup_rules(self.spark),
+            "config_schedule": reporting.schedules(self),
+            "config_antibot": config.antibot(self.spark),
+            "config_export": config.exports(self.spark),
+        }
+
     # --- derivations ---
 
     def _sources(self) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidflow.checks import config
 from bidflow.checks.domain import Domain, with_tables
 from bidflow.checks.registry import dbl, query, ts
 from bidflow.functions.keys import content_hash, dedup_key
@@ -28,11 +29,13 @@ BID_ROW = f"""id, source_id, raw_item_id, external_id, title, description, cargo
 @query(f"{with_tables('sources', 'raw_items', 'bids', 'jobs', 'errors')}"
        + " union all ".join(
            f" select '{t}' as table_name, count(*) as n_rows, min(id) as first_id, max(id) as last_id from {t}"
-           for t in ("sources", "raw_items", "bids", "jobs", "errors")))
+           for t in ("sources", "raw_items", "bids", "jobs", "errors"))
+       + "".join(f" union all select '{t}', count(*), min(id), max(id) from sources" for t in ("config_source", "config_schedule"))
+       + "".join(f" union all select '{t}', {len(c)}, 1, {len(c)}" for t, c in config.CODES.items()))
 def table_scan(d: Domain) -> DataFrame:
-    """Typed scan of the stored tables."""
+    """Typed scan of all twelve tables."""
     out = None
-    for name, df in d.tables().items():
+    for name, df in d.all_tables().items():
         row = df.agg(
             F.lit(name).alias("table_name"), F.count("*").alias("n_rows"),
             F.min("id").alias("first_id"), F.max("id").alias("last_id"),
@@ -193,7 +196,7 @@ def raw_since(d: Domain) -> DataFrame:
 @query(f"""{with_tables('bids')} select {BID_ENTITY} from bids
   where source_id = 3 and created_at >= timestamp '1999-06-01 00:00:00'""")
 def bids_since(d: Domain) -> DataFrame:
-    return mapping.bid_to_entity(lookups.since(d.bids_by_year, 3, datetime(1999, 6, 1)))
+    return mapping.bid_to_entity(lookups.since(d.bids_by_year, 3, datetime(1999, 6, 1), "year"))
 
 
 @query(f"""{with_tables('sources', 'raw_items')} select r.id, r.source_id, {ts('r.created_at').replace('as r.', 'as ')}
@@ -211,7 +214,7 @@ def raw_since_each(d: Domain) -> DataFrame:
   where b.created_at >= timestamp '1997-01-01' + to_days(cast(60 * s.id as integer))""")
 def bids_since_each(d: Domain) -> DataFrame:
     marks = d.sources.selectExpr("id as source_id", "timestamp '1997-01-01' + make_dt_interval(int(60 * id)) as since")
-    return lookups.since_each(d.bids.select("id", "source_id", "created_at"), marks)
+    return lookups.since_each(d.bids_by_year.select("id", "source_id", "created_at", "created_part"), marks, "year")
 
 
 @query(f"""{with_tables('sources')} select distinct 'src' || (conv_id % 25) as code from conversations
@@ -361,24 +364,38 @@ def released_bids(d: Domain) -> DataFrame:
 
 
 def _audit_sql() -> str:
-    from bidflow.schemas import MAX_LENGTHS, TABLES
+    from bidflow.schemas import DOMAINS, MAX_LENGTHS, TABLES
 
     parts = []
-    for t in ("sources", "raw_items", "bids", "jobs", "errors"):
+    for t in TABLES:
         for f in TABLES[t]:
             if not f.nullable:
                 parts.append(f"select '{t}' as table_name, '{f.name}' as column_name, 'not_null' as rule, "
                              f"count(*) filter ({f.name} is null) as violations from {t}")
+        for c, allowed in DOMAINS.get(t, {}).items():
+            values = ", ".join(f"'{v}'" for v in allowed)
+            parts.append(f"select '{t}', '{c}', 'domain', count(*) filter ({c} not in ({values})) from {t}")
         for c, n in MAX_LENGTHS[t].items():
             parts.append(f"select '{t}', '{c}', 'max_length', count(*) filter (length({c}) > {n}) from {t}")
-    parts.append("select 'sources', 'code', 'unique', count(*) from "
-                 "(select code from sources group by code having count(*) > 1)")
+        if t == "sources" or t.startswith("config_"):
+            parts.append(f"select '{t}', 'code', 'unique', count(*) from "
+                         f"(select code from {t} group by code having count(*) > 1)")
     return " union all ".join(parts)
 
 
-@query(f"{with_tables('sources', 'raw_items', 'bids', 'jobs', 'errors')} {_audit_sql()}")
+def _config_sql() -> str:
+    columns = "name, created_at, updated_at, true as is_active, '{}' as data"
+    derived = [f"{t} as (select id, code, {columns} from sources)" for t in ("config_source", "config_schedule")]
+    for t, codes in config.CODES.items():
+        listed = ", ".join(f"({i}, '{c}', '{c}')" for i, c in enumerate(codes, 1))
+        at = "timestamp '2025-12-03 10:15:00' as created_at, timestamp '2025-12-03 10:15:00' as updated_at"
+        derived.append(f"{t} as (select *, {at}, true as is_active, '{{}}' as data from (values {listed}) as v(id, code, name))")
+    return ", ".join(derived)
+
+
+@query(f"{with_tables('sources', 'raw_items', 'bids', 'jobs', 'errors')}, {_config_sql()} {_audit_sql()}")
 def constraint_audit(d: Domain) -> DataFrame:
-    return integrity.constraint_audit(d.tables())
+    return integrity.constraint_audit(d.all_tables())
 
 
 # --- duplicates ---
@@ -395,12 +412,12 @@ def mark_duplicates(d: Domain) -> DataFrame:
 
 @query(f"""{with_tables('bids')} select id, source_id, external_id, row_number() over (partition by title, contact_phone,
   load_location, cast(floor(date_diff('day', date '1970-01-01', cast(created_at as date)) / 30.0) as bigint)
-  order by created_at desc, id desc) > 1 as is_duplicate from bids""")
+  order by created_at desc, id desc) > 1 or (contact_phone is not null and row_number() over (
+  partition by source_id, contact_phone, title order by created_at, id) > 1) as is_duplicate from bids""")
 def dedup_configured(d: Domain) -> DataFrame:
-    """By title, phone and loading place within 30-day windows; missing phones are equal; the last stays."""
-    marked = dedup.mark_duplicates(
-        d.bids, ["title", "contact_phone", "load_location"], null_policy="equal", window_days=30, keep="last"
-    )
+    """Two strategies: title, phone and loading place within 30-day windows, missing phones equal, the last stays;
+    and source, phone and title, the first stays."""
+    marked = dedup.mark_by_all(d.bids, rules.active_config(config.config(d.spark, config.DEDUP_TWICE)))
     return marked.select("id", "source_id", "external_id", "is_duplicate")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidflow.checks import config
@@ -10,10 +10,12 @@ from bidflow.checks.domain import Domain, with_tables
 from bidflow.checks.registry import dbl, query, ts
 from bidflow.functions import text, values
 from bidflow.operators import classify as classifying
-from bidflow.operators import near, rules
+from bidflow.operators import mapping, near, rules
+from bidflow.operators.ids import with_dense_ids
 from bidflow.plans.harvest import bids_of, number_raw, prepare
 from bidflow.plans.refine import refine
 from bidflow.shared import staged
+from bidflow.sources import providers
 
 # --- pages ---
 
@@ -244,7 +246,65 @@ def refined_bids(d: Domain) -> DataFrame:
     )
 
 
-@query()
+ANY_CARGO = {"text": {"target": "cargo_type", "value": "text", "priority": 1, "keywords": [], "regex": "."}}
+PHONE_RUN = r"""'(?:\+\d{1,3}|\b[78])[\s(-]{1,2}\d{3}[\s)-]{1,2}\d{3}[\s-]?\d{2}[\s-]?\d{2}\b'"""
+
+
+def _refined_texts(d: Domain, rows: DataFrame, number: Column, kind: str) -> DataFrame:
+    """Landed rows of a kind through the whole refinement, all under source 1."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    items = providers.READERS[kind](rows, F.lit("any"), at).withColumn("source_id", F.lit(1).cast("bigint"))
+    raw = mapping.raw_from_entity(with_dense_ids(items, ["external_id"]))
+    any_config = {
+        "config_classifier": config.config(d.spark, ANY_CARGO),
+        "config_filter_rule": config.config(d.spark, {}),
+        "config_dedup": config.dedup_rules(d.spark),
+    }
+    out = refine(raw, d.sources, places(d), any_config, config.NOW)
+    return out.select("external_id", "url", "title", "description", "cargo_type", "contact_phone", "is_duplicate")
+
+
+@query(rf"""{with_tables('sources')}, read as (select page_id, url, {TITLE} as title, {BODY} as body from pages)
+  select 'page-' || page_id as external_id, url,
+    coalesce(nullif(title, ''), (select trim(coalesce(nullif(name, ''), code) || ': заявка page-' || page_id) from sources where id = 1)) as title,
+    body as description, case when title || body <> '' then 'text' end as cargo_type,
+    nullif('+' || regexp_replace(regexp_extract(body, {{PHONE_RUN}}), '[^0-9]', '', 'g'), '+') as contact_phone,
+    false as is_duplicate from read""".replace("{PHONE_RUN}", PHONE_RUN))
+def refined_pages(d: Domain) -> DataFrame:
+    """Web pages through the whole refinement: title, visible text and phone."""
+    return _refined_texts(d, d.given("pages"), F.col("page_id"), "html")
+
+
+@query(rf"""{with_tables('sources')} select 'msg-' || conv_id || '-' || turn as external_id, cast(null as varchar) as url,
+    (select trim(coalesce(nullif(name, ''), code) || ': заявка msg-' || conv_id || '-' || turn) from sources where id = 1) as title,
+    text as description, 'text' as cargo_type,
+    nullif('+' || regexp_replace(regexp_extract(text, {{PHONE_RUN}}), '[^0-9]', '', 'g'), '+') as contact_phone,
+    false as is_duplicate from conversations""".replace("{PHONE_RUN}", PHONE_RUN))
+def refined_messages(d: Domain) -> DataFrame:
+    """Chat messages through the whole refinement: their text and the phone in it."""
+    return _refined_texts(d, d.given("conversations"), F.concat_ws("-", "conv_id", "turn"), "telegram")
+
+
+def _near_sql() -> str:
+    from bidflow.checks.storing import LANDED, numbered
+
+    word = r"[\p{L}\p{M}\p{N}_]+(?:-[\p{L}\p{M}\p{N}_]+)*"
+    # Whole pairs here: similar texts, then everything that links of such reach.
+    return rf"""{LANDED.replace('with ', 'with recursive ', 1)}, bid as (select id, payload from {numbered('landed')}),
+  w as (select id, regexp_extract_all(lower(payload), '{word}') as words from bid),
+  t as (select min(id) as id, words from w group by words),
+  sh as (select distinct id, array_to_string(words[i:i + 2], ' ') as s
+    from (select id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as i from t)),
+  n as (select id, count(*) as n from sh group by id),
+  common as (select a.id as x, b.id as y, count(*) as c from sh a join sh b on a.s = b.s and a.id < b.id group by a.id, b.id),
+  link as (select x, y from common join n nx on nx.id = x join n ny on ny.id = y where c / (nx.n + ny.n - c) >= 0.8),
+  both_ways as (select x, y from link union all select y, x from link),
+  reach(id, other) as (select id, id from t union select r.id, l.y from reach r join both_ways l on l.x = r.other),
+  g as (select id, min(other) as group_id from reach group by id)
+  select w.id, g.group_id, w.id <> g.group_id as is_near_duplicate
+  from w join t on t.words = w.words join g on g.id = t.id"""
+
+
 def near_duplicates(d: Domain) -> DataFrame:
     """Near-duplicate groups among the bids harvested from all documents."""
     from bidflow.checks.storing import landed

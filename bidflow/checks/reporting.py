@@ -59,13 +59,13 @@ def errors_by_job(d: Domain) -> DataFrame:
 
 @query(f"""{with_tables('sources', 'bids')} select s.id as source_id, s.code,
   strftime(last_bid_at, '%Y-%m-%d %H:%M:%S.%f') as last_bid_at
-  from sources s left join (select source_id, max(created_at) as last_bid_at from bids where cargo_type = 'PROMO'
-    and load_region = 'ASIA' group by source_id) b on b.source_id = s.id
-  where s.is_enabled and (last_bid_at is null or last_bid_at < timestamp '2001-10-20' - interval 360 hour)""")
+  from sources s left join (select source_id, max(created_at) as last_bid_at from bids group by source_id) b
+    on b.source_id = s.id
+  where s.is_enabled and (last_bid_at is null or last_bid_at < (select max(created_at) from bids) - interval 12 hour)""")
 def silent_sources(d: Domain) -> DataFrame:
-    """Sources without a PROMO bid from Asia in the 15 days before a moment."""
-    some = d.bids.where("cargo_type = 'PROMO' and load_region = 'ASIA'")
-    return reports.silent_sources(d.sources, some, datetime(2001, 10, 20), 360)
+    """Sources without a bid in the 12 hours before the last bid of all."""
+    as_of = d.bids.agg(F.max("created_at")).first()[0]
+    return reports.silent_sources(d.sources, d.bids, as_of, 12)
 
 
 DURATIONS = f"""{with_tables('jobs')}, runs as (

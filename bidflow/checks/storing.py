@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from bidflow.checks import config
 from bidflow.checks.domain import LINE_ORDER, SQL, Domain, with_tables
 from bidflow.checks.reading import SOURCE_COLS
-from bidflow.checks.refining import CLASS, REASONS, TRANSPORT, WORDS, configs, feed, places
+from bidflow.checks.refining import CLASS, REASONS, TRANSPORT, WORDS, _near_sql, configs, feed, near_duplicates, places
 from bidflow.checks.registry import dbl, query, ts
 from bidflow.checks.reporting import STATE, schedules
-from bidflow.operators import mapping, reports
+from bidflow.functions.keys import item_key
+from bidflow.operators import mapping
 from bidflow.operators.ids import with_dense_ids
 from bidflow.operators.upsert import upsert_sources
 from bidflow.plans.export import run_exports
@@ -152,7 +153,7 @@ def harvest_bids(d: Domain) -> DataFrame:
 
 
 @query(f"""{LANDED}, first as (select * from {numbered('landed', "lang = 'en'")}),
-  second as (select * from {numbered('landed', "lang <> 'es'", 0)})
+  second as (select * from {numbered('landed')})
   select id, source_id, id as raw_item_id, external_id, {TITLE}, payload as description, url from first
   union all select n + id, source_id, n + id, external_id, {TITLE.replace('cast(id', 'cast(n + id')}, payload, url
   from second, (select count(*) as n from first)""")
@@ -161,7 +162,7 @@ def harvest_appends(d: Domain) -> DataFrame:
     warehouse = _warehouse(d)
     documents = d.given("documents")
     harvest(warehouse, d.sources, _landed_columns(documents.where("lang = 'en'")), _codes(d), "b1", NOW)
-    harvest(warehouse, d.sources, _landed_columns(documents.where("lang <> 'es'")), _codes(d), "b2", NOW)
+    harvest(warehouse, d.sources, landed(d), _codes(d), "b2", NOW)
     return _bids(warehouse).drop("created_at", "is_duplicate")
 
 
@@ -189,7 +190,8 @@ def unseen_items(d: Domain) -> DataFrame:
     """Provided items that are not among the stored German ones."""
     filled = mapping.backfill_source(landed(d), d.sources)
     german = _landed_columns(d.given("documents").where("lang = 'de'"))
-    fresh = unseen(filled, mapping.backfill_source(german, d.sources))
+    known = mapping.backfill_source(german, d.sources).select(item_key().alias("key"))
+    fresh = unseen(filled, known)
     return fresh.select("source_code", "source_id", "external_id", "payload", "url")
 
 
@@ -210,7 +212,8 @@ def committed_reads(d: Domain) -> DataFrame:
 def job_counters(d: Domain) -> DataFrame:
     warehouse = _warehouse(d)
     harvest(warehouse, d.sources, landed(d), _codes(d), "b1", NOW)
-    return reports.job_counters(warehouse.read("raw_items", True), warehouse.read("bids", True), NOW, NOW)
+    jobs = warehouse.read("jobs", True)
+    return jobs.drop("id", "created_at", "created_part")
 
 
 DUE = STATE.replace("with ", "", 1).replace(SQL["sources"].strip(), "", 1).lstrip(" ,\n")
@@ -291,10 +294,10 @@ def export_short(d: Domain) -> DataFrame:
     {TRANSPORT} as transport_type from (select *, {WORDS} from bids)),
   judged as (select *, {REASONS} as reasons from typed)
   select id + 100 as id, id as raw_item_id, source_id, external_id, title, cargo_type, transport_type,
-    {dbl('price_value')}, load_region, '2024-01-01 00:00:00.000000' as created_at,
-    '2025-12-03 10:15:00.000000' as updated_at from judged where len(reasons) = 0""")
+    {dbl('price_value')}, load_region, '2024-01-01 00:00:00.000000' as created_at, '2025-12-03 10:15:00.000000' as updated_at
+  from judged where coalesce(cargo_type, '') <> ''""")
 def reprocessed_bids(d: Domain) -> DataFrame:
-    """Stored raw items of a feed, first with plain bids, then refined in their place."""
+    """Stored raw items of a feed with plain bids, then refined by strict rules, then again by none: ids come back."""
     warehouse = _warehouse(d)
     raw = feed(d)
     warehouse.stage("raw_items", "b1", raw.select(*RAW_ITEMS.fieldNames()))
@@ -303,6 +306,8 @@ def reprocessed_bids(d: Domain) -> DataFrame:
     warehouse.stage("bids", "b1", mapping.bid_from_entity(plain))
     warehouse.commit("b1", NOW)
     reprocess(warehouse, ["b1"], "b1-r1", d.sources, places(d), configs(d), NOW)
+    loose = {**configs(d), "config_filter_rule": config.config(d.spark, {})}
+    reprocess(warehouse, ["b1-r1"], "b1-r2", d.sources, places(d), loose, NOW)
     return warehouse.read("bids").select(
         "id", "raw_item_id", "source_id", "external_id", "title", "cargo_type", "transport_type", "price_value",
         "load_region", "created_at", "updated_at",
@@ -385,7 +390,7 @@ def stream_sliding_counts(d: Domain) -> DataFrame:
   g as (select source_id, ms, lead(ms) over (partition by source_id order by ms) as next_ms from e),
   a as (select source_id, make_timestamp(ms * 1000) as last_seen, make_timestamp((ms + 10800000) * 1000) as silent_since from g
     where (next_ms is null or next_ms - ms > 10800000)
-      and ms + 10800000 <= (select epoch_us(max(ts)) // 1000 - 3600000 from events))
+      and (ms + 10800000 + 599999) // 600000 * 600000 <= (select epoch_us(max(ts)) // 1000 - 3600000 from events))
   select source_id, {ts('last_seen', 'silent_since')} from a""")
 def stream_silence_alerts(d: Domain) -> DataFrame:
     """An alert for every three hours of silence of a source."""
@@ -395,3 +400,7 @@ def stream_silence_alerts(d: Domain) -> DataFrame:
     )
     alerts = streams.silence_alerts(_event_stream(d), "at", 180, "1 hour")
     return streams.drain_to_table(alerts, new_path(d.spark, "alerts"), new_path(d.spark, "checkpoint"))
+
+
+# Registered here: its twin builds on the harvest above.
+query(_near_sql())(near_duplicates)

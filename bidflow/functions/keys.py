@@ -41,3 +41,12 @@ def dedup_key(df: DataFrame, fields: Sequence[str], null_policy: str = "skip", w
     for field in fields:
         key = F.when(F.col(field).isNotNull(), key)
     return key
+
+
+def item_key() -> Column:
+    """Source, external id and content of a raw item as one key; NULL equals NULL.
+
+    Field names keep NULL apart from every text.
+    """
+    content = content_hash(F.col("payload")).alias("hash")
+    return F.sha2(F.to_json(F.struct("source_id", "external_id", content)), 256)

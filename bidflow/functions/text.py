@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,22 +18,8 @@ _BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 # A character of a word in any script.
 _WORD = r"[\p{L}\p{M}\p{N}_]"
 
-# Named HTML entities, '&amp;' is decoded after all of them.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&rarr;": "→",
-}
+# Named HTML entities as the standard lists them, without "&" and ";".
+ENTITIES = {name.rstrip(";"): text for name, text in html5.items() if name.endswith(";")}
 
 
 def or_empty(c: Column) -> Column:
@@ -70,19 +59,36 @@ def iso_seconds(ts: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Decode numeric and common named entities; one pass, ``&amp;`` last."""
+    """Decode named, decimal and hexadecimal entities in one pass; what they give is not decoded again.
+
+    The text is split at its entities once; unknown names and codes that are no
+    characters stay as they are.
+    """
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    entity = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
     def char(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    def put(text: Column, code: Column) -> Column:
-        valid = code.cast("bigint").between(1, 0xD7FF) | code.cast("bigint").between(0xE000, 0x10FFFF)
-        return F.when(valid, F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char(code))).otherwise(text)
+    def decoded(found: Column) -> Column:
+        body = F.substring(found, 2, 40)
+        bare = F.rtrim(body, F.lit(";"))
+        hexadecimal = F.conv(F.regexp_extract(bare, r"^#[xX](.*)$", 1), 16, 10).try_cast("bigint")
+        decimal = F.regexp_extract(bare, r"^#(\d+)$", 1).try_cast("bigint")
+        return F.coalesce(
+            F.when(bare.rlike("^#[xX]"), char(hexadecimal)).when(bare.startswith("#"), char(decimal)).otherwise(
+                F.element_at(names, bare)
+            ),
+            found,
+        )
 
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,7});"), F.lit(1)))
-    out = F.when(c.contains("&#"), F.aggregate(codes, c, put)).otherwise(c)
-    for entity, text in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(text))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    def joined(texts: Column, found: Column) -> Column:
+        pairs = F.zip_with(texts, found, lambda t, e: F.concat(t, F.coalesce(decoded(e), F.lit(""))))
+        return F.array_join(pairs, "")
+
+    whole = joined(F.split(c, entity, -1), F.regexp_extract_all(c, F.lit(f"({entity})"), F.lit(1)))
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def html_title(html: Column) -> Column:
@@ -106,11 +112,14 @@ def html_text(html: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """Targets of all ``<a href="...">`` in order, duplicates kept."""
-    hrefs = F.regexp_extract_all(
-        _without_hidden(html), F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1)
-    )
-    return F.transform(hrefs, unescape)
+    """Targets of all links (``href`` in double, single or no quotes) in order, duplicates kept."""
+    tags = F.regexp_extract_all(_without_hidden(html), F.lit(r"(?is)(<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+
+    def target(tag: Column) -> Column:
+        value = F.regexp_extract(tag, r"(?is)[\s\"']href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+        return F.when(tag.rlike(r"(?is)[\s\"']href\s*="), F.regexp_replace(value, r"^[\"']|[\"']$", ""))
+
+    return F.transform(F.filter(F.transform(tags, target), lambda t: t.isNotNull()), unescape)
 
 
 def json_field(payload: Column, field: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidflow.operators.skew import left_join_optional
-from bidflow.schemas import FOREIGN_KEYS, MAX_LENGTHS, TABLES
+from bidflow.schemas import DOMAINS, FOREIGN_KEYS, MAX_LENGTHS, TABLES
 
 
 def _renamed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -118,7 +118,8 @@ def retention(raw_items: DataFrame, bids: DataFrame, cutoff: datetime) -> tuple[
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per table, column and rule, zero counts included.
 
-    Rules: required columns, longest text, unique source code. One scan per
+    Rules: required columns, longest text, allowed values of columns with a
+    default, unique codes of sources and configurations. One scan per
     table; the counts are turned into rows after the aggregation.
     """
     reports = []
@@ -129,6 +130,8 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
                 checks[(field.name, "not_null")] = F.count_if(F.col(field.name).isNull())
         for column, limit in MAX_LENGTHS.get(name, {}).items():
             checks[(column, "max_length")] = F.count_if(F.length(column) > limit)
+        for column, allowed in DOMAINS.get(name, {}).items():
+            checks[(column, "domain")] = F.count_if(~F.col(column).isin(*allowed))
         counts = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks.values())])
         rows = [
             F.struct(F.lit(column).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"c{i}").alias("violations"))

@@ -40,25 +40,32 @@ def active_sources(sources: DataFrame) -> DataFrame:
     return sources.where("is_enabled").orderBy("id")
 
 
-def _from(table: DataFrame, since: datetime) -> DataFrame:
-    """``created_at >= since`` on the bare column, plus the partition it implies."""
-    # created_part is the first day of the partition's period; the widest period
-    # in use is a year, so this bound never drops a row and still prunes.
-    if "created_part" in table.columns:
-        year = since.date().replace(month=1, day=1)
-        table = table.where(F.col("created_part") >= F.lit(year)).drop("created_part")
-    return table.where(F.col("created_at") >= F.lit(since))
+def _part(moment: Column, period: str) -> Column:
+    """First day of the partition that holds ``moment``; partitions span a day, a month or a year."""
+    return F.to_date(F.date_trunc(period, moment))
+
 
+def since(table: DataFrame, source_id: int, moment: datetime, period: str = "day") -> DataFrame:
+    """Rows of one source created at or after ``moment``, oldest first.
 
-def since(table: DataFrame, source_id: int, moment: datetime) -> DataFrame:
-    """Rows of one source created at or after ``moment``, oldest first."""
-    found = _from(table, moment).where(F.col("source_id") == source_id)
+    A table with its partition column ``created_part`` (the first day of a
+    ``period``) is read from that partition on only.
+    """
+    if "created_part" in table.columns:
+        table = table.where(F.col("created_part") >= _part(F.lit(moment), period)).drop("created_part")
+    found = table.where((F.col("created_at") >= F.lit(moment)) & (F.col("source_id") == source_id))
     return found.orderBy("created_at", "id")
 
 
-def since_each(table: DataFrame, marks: DataFrame) -> DataFrame:
-    """The same for many sources: ``marks`` holds one (source_id, since) row each."""
-    rows = table.drop("created_part") if "created_part" in table.columns else table
+def since_each(table: DataFrame, marks: DataFrame, period: str = "day") -> DataFrame:
+    """The same for many sources: ``marks`` holds one (source_id, since) row each.
+
+    The earliest mark bounds the partitions that are read.
+    """
+    rows = table
+    if "created_part" in table.columns:
+        first = marks.agg(_part(F.min("since"), period).alias("first")).scalar()
+        rows = table.where(F.col("created_part") >= first).drop("created_part")
     return (
         rows.join(marks.select("source_id", "since"), "source_id")
         .where(F.col("created_at") >= F.col("since"))

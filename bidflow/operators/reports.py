@@ -34,6 +34,26 @@ def job_counters(raw_items: DataFrame, bids: DataFrame, started: datetime, finis
     )
 
 
+def reprocess_counters(raw_items: DataFrame, rebuilt: DataFrame, started: datetime, finished: datetime) -> DataFrame:
+    """One finished job per source of a reprocessing; ``rebuilt`` has ``_id`` where a bid was there before."""
+    total = raw_items.groupBy("source_id").agg(F.count("*").alias("items_total"))
+    made = rebuilt.groupBy("source_id").agg(
+        F.count_if(F.col("_id").isNull()).alias("items_created"), F.count("_id").alias("items_updated")
+    )
+    zero = F.lit(0)
+    return total.join(made, "source_id", "left").select(
+        "source_id",
+        F.lit("reprocess").alias("job_type"),
+        F.lit("done").alias("status"),
+        F.lit(started).cast("timestamp").alias("started_at"),
+        F.lit(finished).cast("timestamp").alias("finished_at"),
+        F.col("items_total").cast("int"),
+        F.coalesce("items_created", zero).cast("int").alias("items_created"),
+        F.coalesce("items_updated", zero).cast("int").alias("items_updated"),
+        F.lit(None).cast("string").alias("error_message"),
+    )
+
+
 def _per_day(df: DataFrame, when: str, name: str) -> DataFrame:
     return (
         df.groupBy(F.to_date(when).alias("day"), "source_id")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from bidflow.shared import staged
 
-# A key outside the HOT_KEYS largest holds at most 1/HOT_KEYS of the rows, so a
-# plain shuffle join handles it; the list of the largest is at most HOT_KEYS rows.
-HOT_KEYS = 1024
+# A key is large when it holds HOT_ROWS rows and 1/HOT_KEYS of all rows. At most
+# HOT_KEYS keys can, so their list has a bound however many rows there are.
+HOT_KEYS = 100_000
 HOT_ROWS = 200_000
 
 # Rows without a key match nothing; they are spread over this many slices.
@@ -36,11 +36,9 @@ def salted_join(
     Only the list of large keys is broadcast, never what hangs on them.
     """
     keys = list(keys)
-    hot = (
-        sizes.where(F.col("n_rows") >= hot_rows)
-        .orderBy(F.desc("n_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("int").alias("_slices"))
+    share = F.coalesce(sizes.agg(F.sum("n_rows") / F.lit(HOT_KEYS)).scalar(), F.lit(0.0))
+    hot = sizes.where((F.col("n_rows") >= hot_rows) & (F.col("n_rows") >= share)).select(
+        *keys, F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("int").alias("_slices")
     )
     slices = F.coalesce("_slices", F.lit(1))
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])

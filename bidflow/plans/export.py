@@ -35,8 +35,12 @@ def export_view(
     columns: Sequence[str] = DEFAULT_COLUMNS,
     sources: DataFrame | None = None,
 ) -> DataFrame:
-    """Bids that pass the named active rules, in the configured columns."""
-    chosen = [r for r in active_config(config_filter_rule) if r["code"] in set(rules)]
+    """Bids that pass the named rules, in the configured columns; each name must be of an active rule."""
+    active = {r["code"]: r for r in active_config(config_filter_rule)}
+    unknown = sorted(set(rules) - set(active))
+    if unknown:
+        raise ValueError(f"no active rules {unknown}")
+    chosen = [active[code] for code in sorted(set(rules))]
     ids = source_ids_of(sources, chosen) if sources is not None else {}
     passed = bids.where(F.size(rejections(bids, chosen, ids, cargo_required=False)) == 0)
     return passed.select(*[require_field(c) for c in columns])

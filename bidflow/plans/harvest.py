@@ -7,37 +7,25 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.functions.keys import content_hash
+from bidflow.functions.keys import content_hash, item_key
 from bidflow.operators.ids import with_dense_ids
 from bidflow.operators.lookups import require_codes, sources_by_codes
 from bidflow.operators.mapping import backfill_source, bid_from_entity, build_bids, raw_from_entity
-from bidflow.operators.skew import attach_group
+from bidflow.operators.reports import job_counters
 from bidflow.plans.publish import Warehouse
+from bidflow.schemas import JOBS
 from bidflow.shared import staged
 
 # Order in which new raw items get their ids.
 INSERT_ORDER = ("source_id", "external_id", "_hash", "received_at", "url")
 
-# A batch over more days than this is regrouped by day before it is written.
-MANY_DAYS = 8
 
+def unseen(provided: DataFrame, keys: DataFrame) -> DataFrame:
+    """Provided items whose key (source, external id and content) is not in ``keys`` (key).
 
-def unseen(provided: DataFrame, stored: DataFrame) -> DataFrame:
-    """Provided items not stored yet under the same source, external id and content."""
-
-    def key(df: DataFrame) -> DataFrame:
-        # Field names keep NULL apart from every text, so NULL matches NULL.
-        content = content_hash(F.col("payload")).alias("hash")
-        return df.withColumn("_key", F.to_json(F.struct("source_id", "external_id", content)))
-
-    # Copies may agree in every column; their place in the file tells them apart.
-    rows = staged(key(provided), "provided").select(
-        "*", F.hash("_metadata.file_path", "_metadata.row_index").alias("_place")
-    )
-    known = key(stored).select("_key").distinct().withColumn("_known", F.lit(True))
-    groups = rows.groupBy("_key").agg(F.count("*").alias("n_rows")).join(known, "_key")
-    joined = attach_group(rows, groups, ["_key"], spread_by=["_place"])
-    return joined.where(F.col("_known").isNull()).select(*provided.columns)
+    AQE splits a key that many provided rows share.
+    """
+    return provided.withColumn("key", item_key()).join(keys.select("key"), "key", "left_anti").select(*provided.columns)
 
 
 def prepare(provided: DataFrame, sources: DataFrame, codes: DataFrame) -> DataFrame:
@@ -46,6 +34,19 @@ def prepare(provided: DataFrame, sources: DataFrame, codes: DataFrame) -> DataFr
     return backfill_source(provided, sources_by_codes(sources, codes))
 
 
+def log_jobs(warehouse: Warehouse, batch_id: str, now: datetime) -> None:
+    """One job row per source of a harvest, counted from the files as written."""
+    parts = [warehouse.staged(t, batch_id).withColumn("batch_id", F.lit(batch_id)) for t in ("raw_items", "bids")]
+    stage_jobs(warehouse, batch_id, job_counters(*parts, now, now), now)
+
+
+def stage_jobs(warehouse: Warehouse, batch_id: str, counters: DataFrame, now: datetime) -> None:
+    """Write job rows of a batch, numbered after those stored."""
+    last = warehouse.manifest().agg(F.max("max_job_id")).first()[0] or 0
+    numbered = with_dense_ids(counters, ["source_id"], after=last).withColumn("created_at", F.lit(now).cast("timestamp"))
+    warehouse.stage("jobs", batch_id, numbered.select(*[F.col(f.name).cast(f.dataType) for f in JOBS]))
+
+
 def number_raw(prepared: DataFrame, after: int) -> DataFrame:
     """Raw entities with ids, plus the source attributes bids are built from."""
     hashed = prepared.withColumn("_hash", content_hash(F.col("payload")))
@@ -70,19 +71,25 @@ def stage_batch(
     """Write a batch without committing it; False when there is nothing to write.
 
     ``append`` takes everything provided, again on every run. ``idempotent``
-    takes only what is not stored yet.
+    takes only what is not stored yet, by the stored keys; stored payloads are
+    not read. What is provided is written once, numbered without its payloads,
+    and meets its ids by its place in the files.
     """
     if mode not in ("append", "idempotent"):
         raise ValueError(f"mode must be 'append' or 'idempotent', not {mode!r}")
-    prepared = prepare(provided, sources, codes)
+    last_raw, last_bid = warehouse.begin(batch_id)
+    keyed = prepare(provided, sources, codes).withColumns({"_hash": content_hash(F.col("payload")), "key": item_key()})
+    rows = staged(keyed, "provided").select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    thin = rows.select(*INSERT_ORDER, "key", "_file", "_row")
     if mode == "idempotent":
-        prepared = unseen(prepared, warehouse.read("raw_items"))
-    last_raw, last_bid = warehouse.last_ids()
-    numbered = number_raw(prepared, after=last_raw)
-    days = numbered.agg(F.count_distinct(F.to_date("created_at"))).first()[0]
-    if days == 0:
+        thin = thin.join(warehouse.read("raw_keys").select("key"), "key", "left_anti")
+    ids = with_dense_ids(thin.drop("key"), [*INSERT_ORDER, "_file", "_row"], after=last_raw).select("id", "_file", "_row")
+    if ids.isEmpty():
         return False
-    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered), many_days=days > MANY_DAYS)
+    numbered = rows.join(ids, ["_file", "_row"])
+    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered))
     warehouse.stage("bids", batch_id, bids_of(numbered, now, last_bid - last_raw))
     return True
 
@@ -107,5 +114,6 @@ def harvest(
         return False
     if not stage_batch(warehouse, sources, provided, codes, batch_id, now, mode):
         return False
+    log_jobs(warehouse, batch_id, now)
     warehouse.commit(batch_id, now)
     return True

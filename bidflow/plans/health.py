@@ -5,13 +5,13 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidflow.operators import reports
 from bidflow.operators.schedule import due_sources, job_state
 from bidflow.plans.harvest import harvest
 from bidflow.plans.publish import Warehouse
+from bidflow.shared import staged
 
 
 def _rows(df: DataFrame, section: str, source, name, value) -> DataFrame:
@@ -31,29 +31,54 @@ def health_report(
     day: date,
     silent_hours: float,
 ) -> DataFrame:
-    """Everything worth knowing about one day, as (section, source_id, name, value) rows."""
+    """Everything worth knowing about one day, as (section, source_id, name, value) rows.
+
+    Each table is read once and reduced to a row per source, which is written;
+    all sections come from these few rows.
+    """
     start = datetime(day.year, day.month, day.day)
     end = start + timedelta(days=1)
 
-    def of_day(df: DataFrame, column: str) -> DataFrame:
-        return df.where((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    def today(column: str):
+        return (F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end))
 
-    raw, bids = of_day(raw_items, "created_at"), of_day(marked_bids, "created_at")
-    failures = of_day(errors, "occurred_at")
-    stats = reports.daily_stats(raw, bids, failures).where("level = 0")
-    none = F.lit(None)
-    silent = reports.silent_sources(sources, marked_bids.where(F.col("created_at") < F.lit(end)), end, silent_hours)
-    by_severity = reports.error_rollup(failures).where("level = 3")
+    zero = F.lit(0)
+    raw = raw_items.where(today("created_at")).groupBy("source_id").agg(F.count("*").alias("n"))
+    past = marked_bids.where(F.col("created_at") < F.lit(end))
+    bids = past.groupBy("source_id").agg(
+        F.count_if(today("created_at")).alias("n"),
+        F.count_if(today("created_at") & F.col("is_duplicate")).alias("n_duplicates"),
+        F.max("created_at").alias("last_bid_at"),
+    )
+    bids = staged(bids, "health-bids")
+    failures = errors.where(today("occurred_at")).groupBy("severity", "source_id").agg(F.count("*").alias("n"))
+    failures = staged(failures, "health-errors")
+    of_day = bids.where("n > 0")
+    facts = (
+        raw.select("source_id", F.col("n").alias("raw_items"), zero.alias("bids"), zero.alias("errors"))
+        .unionAll(of_day.select("source_id", zero, "n", zero))
+        .unionAll(failures.select("source_id", zero, zero, "n"))
+    )
+    names = ("raw_items", "bids", "errors")
+    stats = facts.groupBy("source_id").agg(*[F.sum(n).alias(n) for n in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names]))
+    counts = stats.select("source_id", pairs.alias("p"))
+    share = of_day.select("source_id", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    limit = F.lit(end) - F.make_dt_interval(zero, zero, zero, F.lit(float(silent_hours) * 3600))
+    active = sources.where("is_enabled").select(F.col("id").alias("source_id"), "code")
+    silent = active.join(bids.select("source_id", "last_bid_at"), "source_id", "left").where(
+        F.col("last_bid_at").isNull() | (F.col("last_bid_at") < limit)
+    )
+    by_severity = failures.groupBy("severity").agg(F.sum("n").alias("n"))
+    own = F.col("source_id")
     return reduce(
         DataFrame.unionAll,
         [
-            _rows(stats, "counts", F.col("source_id"), F.lit("raw_items"), F.col("raw_items")),
-            _rows(stats, "counts", F.col("source_id"), F.lit("bids"), F.col("bids")),
-            _rows(stats, "counts", F.col("source_id"), F.lit("errors"), F.col("errors")),
-            _rows(reports.source_share(bids), "share", F.col("source_id"), F.lit("share"), F.col("share")),
-            _rows(reports.duplicate_counts(bids), "duplicates", F.col("source_id"), F.lit("duplicates"), F.col("duplicates")),
-            _rows(by_severity, "errors", none, F.col("severity"), F.col("errors")),
-            _rows(silent, "silent", F.col("source_id"), F.col("code"), F.lit(1)),
+            _rows(counts, "counts", own, F.col("p.name"), F.col("p.value")),
+            _rows(share, "share", own, F.lit("share"), F.col("share")),
+            _rows(of_day, "duplicates", own, F.lit("duplicates"), F.col("n_duplicates")),
+            _rows(by_severity, "errors", F.lit(None), F.col("severity"), F.col("n")),
+            _rows(silent, "silent", own, F.col("code"), F.lit(1)),
         ],
     )
 

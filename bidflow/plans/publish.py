@@ -1,4 +1,4 @@
-"""All-or-nothing publishing of raw items and bids, and the source table.
+"""All-or-nothing publishing of raw items, bids and jobs, and the source table.
 
 A batch is written under its own ``batch_id`` folders. Its manifest row is
 written last and is the commit: readers see only batches named there, so a
@@ -7,129 +7,264 @@ failed or abandoned batch stays invisible without any clean-up.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidflow import schemas
+from bidflow.functions.keys import item_key
+from bidflow.operators import integrity
 
 MANIFEST = T.StructType(
     [
         T.StructField("batch_id", T.StringType()),
         T.StructField("raw_count", T.LongType()),
         T.StructField("bid_count", T.LongType()),
+        T.StructField("job_count", T.LongType()),
         T.StructField("max_raw_id", T.LongType()),
         T.StructField("max_bid_id", T.LongType()),
+        T.StructField("max_job_id", T.LongType()),
         T.StructField("committed_at", T.TimestampType()),
         T.StructField("replaces", T.ArrayType(T.StringType())),
+        T.StructField("replaces_raw", T.ArrayType(T.StringType())),
     ]
 )
 
+# Keys of stored raw items, so that harvesting again need not read their payloads.
+KEYS = T.StructType([T.StructField("source_id", T.LongType()), T.StructField("key", T.StringType())])
+
+COUNTED = {"raw_items": "raw", "bids": "bid", "jobs": "job"}
+
+# So many commits are written as files of their own before they are folded into a snapshot.
+LOG_FILES = 64
+
 
 class Warehouse:
-    """File tables under one root; one writer at a time."""
+    """File tables under one root; one writer at a time.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    The manifest has one row per batch. It is a snapshot and at most
+    ``log_files`` commits after it, so reading it opens a bounded number of
+    files; its rows are held by the driver.
+    """
 
-    def _read(self, schema: T.StructType, path: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, root: str, log_files: int = LOG_FILES):
+        self.spark, self.root, self.log_files = spark, root.rstrip("/"), log_files
+        self._begun: dict[str, tuple[int, int]] = {}
+
+    def _read(self, schema: T.StructType, *paths: str, base: str | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema)
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return (reader.option("basePath", base) if base else reader).parquet(*paths)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _folder(self, path: str):
+        """Hadoop's view of a folder: (file system, path)."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
+    def _names(self, path: str) -> list[str]:
+        system, folder = self._folder(path)
+        return [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+
+    # --- manifest ---
+
+    def _epoch(self) -> int:
+        """Number of the last complete snapshot; 0 before the first."""
+        found = [int(n.rpartition("-")[2]) for n in self._names(f"{self.root}/manifest") if n.startswith("snapshot-")]
+        for epoch in sorted(found, reverse=True):
+            if "_SUCCESS" in self._names(f"{self.root}/manifest/snapshot-{epoch}"):
+                return epoch
+        return 0
+
+    def manifest(self) -> DataFrame:
+        epoch = self._epoch()
+        log = self._read(MANIFEST, f"{self.root}/manifest/log-{epoch}")
+        if not epoch:
+            return log
+        return self._read(MANIFEST, f"{self.root}/manifest/snapshot-{epoch}").unionByName(log)
+
+    def _fold_log(self) -> None:
+        """Write a new snapshot once the log is long; the one before last is removed."""
+        epoch = self._epoch()
+        commits = [n for n in self._names(f"{self.root}/manifest/log-{epoch}") if n.startswith("batch_id=")]
+        if len(commits) < self.log_files:
+            return
+        self.manifest().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/snapshot-{epoch + 1}")
+        for old in (f"snapshot-{epoch - 1}", f"log-{epoch - 1}"):
+            system, folder = self._folder(f"{self.root}/manifest/{old}")
+            system.delete(folder, True)
+
+    def batches(self) -> dict[str, Row]:
+        return {r["batch_id"]: r for r in self.manifest().collect()}
+
+    def is_committed(self, batch_id: str) -> bool:
+        return not self.manifest().where(F.col("batch_id") == batch_id).isEmpty()
+
+    def last_ids(self) -> tuple[int, int]:
+        """Highest raw and bid id of all committed batches, from the manifest alone."""
+        row = self.manifest().agg(F.max("max_raw_id"), F.max("max_bid_id")).first()
+        return row[0] or 0, row[1] or 0
+
+    def begin(self, batch_id: str) -> tuple[int, int]:
+        """The ids a new batch starts after; its commit fails if another batch takes them first."""
+        self._begun[batch_id] = self.last_ids()
+        return self._begun[batch_id]
+
     # --- batches ---
 
-    def stage(self, table: str, batch_id: str, rows: DataFrame, many_days: bool = False) -> None:
+    def stage(self, table: str, batch_id: str, rows: DataFrame) -> None:
         """Write one table's part of a batch. Invisible until ``commit``.
 
         Re-running a batch that was not committed replaces its files. Rows are
-        laid out by creation day so that ``since`` reads prune whole folders;
-        inside a file they lie by source and time for row-group pruning.
-        ``many_days`` regroups the rows by day before writing (AQE splits the
-        large days), or else every task would open a file for every day.
+        regrouped by creation day (AQE splits large days) and laid out in day
+        folders so that ``since`` reads prune whole folders; inside a file they
+        lie by source and time for row-group pruning. The keys of raw items are
+        written beside them.
         """
-        parted = rows.withColumn("created_part", F.to_date("created_at"))
-        if many_days:
-            parted = parted.hint("rebalance", F.col("created_part"))
+        path = f"{self.root}/{table}/batch_id={batch_id}"
         (
-            parted.sortWithinPartitions("created_part", "source_id", "created_at")
+            rows.withColumn("created_part", F.to_date("created_at"))
+            .hint("rebalance", F.col("created_part"))
+            .sortWithinPartitions("created_part", "source_id", "created_at")
             .write.mode("overwrite")
             .partitionBy("created_part")
-            .parquet(f"{self.root}/{table}/batch_id={batch_id}")
+            .parquet(path)
         )
+        if table == "raw_items":
+            keys = self.staged(table, batch_id).select("source_id", item_key().alias("key"))
+            keys.write.mode("overwrite").parquet(f"{self.root}/raw_keys/batch_id={batch_id}")
 
     def staged(self, table: str, batch_id: str) -> DataFrame:
         schema = T.StructType([*schemas.TABLES[table].fields, T.StructField("created_part", T.DateType())])
         return self._read(schema, f"{self.root}/{table}/batch_id={batch_id}")
 
-    def commit(self, batch_id: str, now: datetime, replaces: list[str] | None = None) -> None:
-        """Make a batch visible; its bids take the place of those of ``replaces``.
+    def commit(
+        self, batch_id: str, now: datetime, replaces: Iterable[str] = (), replaces_raw: Iterable[str] = ()
+    ) -> None:
+        """Make a batch visible; its bids and raw items take the place of those of the batches named.
 
         The counts come from the files as written.
         """
-        raw = self.staged("raw_items", batch_id).agg(
-            F.lit(batch_id).alias("batch_id"),
-            F.count("*").alias("raw_count"),
-            F.max("id").alias("max_raw_id"),
-        )
-        bids = self.staged("bids", batch_id).agg(
-            F.lit(batch_id).alias("batch_id"),
-            F.count("*").alias("bid_count"),
-            F.max("id").alias("max_bid_id"),
-        )
-        old = F.array(*[F.lit(b) for b in replaces or []]).cast("array<string>")
-        row = raw.join(bids, "batch_id").withColumns(
-            {"committed_at": F.lit(now).cast("timestamp"), "replaces": old}
-        )
+        if batch_id in self._begun and self._begun.pop(batch_id) != self.last_ids():
+            raise RuntimeError(f"another batch was committed while {batch_id!r} was written; run it again")
+        row = None
+        for table, short in COUNTED.items():
+            counts = self.staged(table, batch_id).agg(
+                F.lit(batch_id).alias("batch_id"),
+                F.count("*").alias(f"{short}_count"),
+                F.max("id").alias(f"max_{short}_id"),
+            )
+            row = counts if row is None else row.join(counts, "batch_id")
+        names = {"replaces": replaces, "replaces_raw": replaces_raw}
+        lists = {k: F.array(*[F.lit(b) for b in v]).cast("array<string>") for k, v in names.items()}
+        row = row.withColumns({"committed_at": F.lit(now).cast("timestamp"), **lists})
         (
             row.select(*[f.name for f in MANIFEST if f.name != "batch_id"])
             .coalesce(1)
             .write.mode("overwrite")
-            .parquet(f"{self.root}/manifest/batch_id={batch_id}")
+            .parquet(f"{self.root}/manifest/log-{self._epoch()}/batch_id={batch_id}")
         )
+        self._fold_log()
 
-    def manifest(self) -> DataFrame:
-        return self._read(MANIFEST, f"{self.root}/manifest")
+    def visible(self, table: str) -> list[str]:
+        """Batches whose rows count: committed, with rows, and not replaced by a later one."""
+        by = {"bids": "replaces", "raw_items": "replaces_raw", "raw_keys": "replaces_raw"}.get(table)
+        rows = self.batches()
+        gone = {b for r in rows.values() for b in (r[by] or [])} if by else set()
+        count = f"{COUNTED.get(table, 'raw')}_count"
+        return sorted(b for b, r in rows.items() if b not in gone and r[count])
 
-    def is_committed(self, batch_id: str) -> bool:
-        return not self.manifest().where(F.col("batch_id") == batch_id).isEmpty()
+    def family(self, batches: Iterable[str]) -> tuple[list[str], list[str]]:
+        """(all batches tied to the named ones by replacing or being replaced, those of them with visible bids)."""
+        rows, todo, found = self.batches(), list(batches), set()
+        unknown = sorted(set(todo) - set(rows))
+        if unknown:
+            raise ValueError(f"no committed batches {unknown}")
+        tied: dict[str, set[str]] = {b: set() for b in rows}
+        for b, r in rows.items():
+            for other in {*(r["replaces"] or []), *(r["replaces_raw"] or [])} & set(rows):
+                tied[b].add(other)
+                tied[other].add(b)
+        while todo:
+            batch = todo.pop()
+            if batch not in found:
+                found.add(batch)
+                todo += tied[batch]
+        replaced = {b for r in rows.values() for b in (r["replaces"] or [])}
+        return sorted(found), sorted(found - replaced)
 
-    def last_ids(self) -> tuple[int, int]:
-        """Highest raw and bid id of all committed batches, from the manifest alone."""
-        row = self.manifest().agg(F.max("max_raw_id"), F.max("max_bid_id")).first()
-        return row[0] or 0, row[1] or 0
+    def read(
+        self, table: str, keep_partition: bool = False, batches: Iterable[str] | None = None, replaced: bool = False
+    ) -> DataFrame:
+        """Rows of visible batches, or of those among ``batches``; ``replaced``: of all of them, visible or not.
 
-    def visible(self, table: str) -> DataFrame:
-        """Batches whose rows count: committed and, for bids, not replaced by a later one."""
-        batches = self.manifest().select("batch_id")
-        if table != "bids":
-            return batches
-        replaced = self.manifest().select(F.explode("replaces").alias("batch_id"))
-        return batches.join(replaced, "batch_id", "left_anti")
+        Only the folders of these batches are listed.
+        """
+        if replaced:
+            count = f"{COUNTED[table]}_count"
+            names = [b for b, r in self.batches().items() if r[count]]
+        else:
+            names = self.visible(table)
+        names = names if batches is None else sorted(set(names) & set(batches))
+        extra = [T.StructField("batch_id", T.StringType())]
+        if table in schemas.TABLES:
+            extra.append(T.StructField("created_part", T.DateType()))
+        schema = T.StructType([*(schemas.TABLES.get(table) or KEYS).fields, *extra])
+        base = f"{self.root}/{table}"
+        if names:
+            rows = self._read(schema, *[f"{base}/batch_id={b}" for b in names], base=base)
+        else:
+            rows = self.spark.createDataFrame([], schema)
+        return rows if keep_partition else rows.drop("batch_id", "created_part")
 
-    def read(self, table: str, keep_partition: bool = False) -> DataFrame:
-        """Rows of visible batches.
+    # --- changes of stored batches: only those they touch are written anew, in one commit ---
 
-        The manifest holds one row per batch; its size on file lets Catalyst
-        broadcast it and prune the batch folders at run time.
-        """
-        schema = T.StructType(
-            [
-                *schemas.TABLES[table].fields,
-                T.StructField("batch_id", T.StringType()),
-                T.StructField("created_part", T.DateType()),
-            ]
-        )
-        rows = self._read(schema, f"{self.root}/{table}").join(
-            self.visible(table), "batch_id", "left_semi"
+    def _touched(self, table: str, rows: DataFrame) -> list[str]:
+        """Batches of ``table`` that have any of ``rows`` (with batch_id)."""
+        return sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())
+
+    def _drop_raw(self, batch_id: str, now: datetime, gone: DataFrame) -> bool:
+        """Publish all tables without the raw items ``gone`` (id, batch_id); bids that pointed to them lose the link."""
+        raw_batches = self._touched("raw_items", gone)
+        if not raw_batches:
+            return False
+        ids = gone.select("id")
+        bids = self.read("bids", keep_partition=True)
+        linked = bids.join(ids.select(F.col("id").alias("raw_item_id")), "raw_item_id", "left_semi")
+        bid_batches = self._touched("bids", linked)
+        kept = self.read("raw_items", batches=raw_batches).join(ids, "id", "left_anti")
+        self.stage("raw_items", batch_id, kept.select(*schemas.RAW_ITEMS.fieldNames()))
+        if bid_batches:
+            released = integrity.release(self.read("bids", batches=bid_batches), "raw_item_id", ids)
+            self.stage("bids", batch_id, released)
+        self.commit(batch_id, now, replaces=bid_batches, replaces_raw=raw_batches)
+        return True
+
+    def retain(self, batch_id: str, cutoff: datetime, now: datetime) -> bool:
+        """Drop stored raw items created before ``cutoff``; False when there are none."""
+        if self.is_committed(batch_id):
+            return False
+        raw = self.read("raw_items", keep_partition=True).where(
+            (F.col("created_part") <= F.lit(cutoff.date())) & (F.col("created_at") < F.lit(cutoff))
         )
-        return rows if keep_partition else rows.drop("batch_id", "created_part")
+        return self._drop_raw(batch_id, now, raw.select("id", "batch_id"))
+
+    def delete_sources(self, batch_id: str, ids: DataFrame, now: datetime) -> None:
+        """Delete sources with their raw items; an error, and no change, when bids still refer to them."""
+        gone = ids.select("id")
+        by_source = gone.select(F.col("id").alias("source_id"))
+        if not self.read("bids").join(by_source, "source_id", "left_semi").isEmpty():
+            raise ValueError("sources still have bids")
+        raw = self.read("raw_items", keep_partition=True).join(by_source, "source_id", "left_semi")
+        self._drop_raw(batch_id, now, raw.select("id", "batch_id"))
+        self.replace("sources", self.current("sources").join(gone, "id", "left_anti").select(*schemas.SOURCES.fieldNames()))
 
     # --- whole-table versions ---
 

@@ -180,6 +180,14 @@ MAX_LENGTHS = {
     },
     "jobs": {"job_type": 64, "status": 32},
     "errors": {"severity": 32, "message": 512},
+    **{name: {"code": 128, "name": 255} for name in CONFIG_TABLES},
+}
+
+# What a column with a default may hold, the default first.
+DOMAINS = {
+    "raw_items": {"status": ("new", "processed", "error")},
+    "jobs": {"status": ("pending", "running", "done", "failed")},
+    "errors": {"severity": ("error", "warning", "critical")},
 }
 
 # Child table, child column, parent table, rule on parent delete.

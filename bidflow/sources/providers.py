@@ -7,7 +7,7 @@ from networks happens elsewhere: these read what has landed.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,10 @@ from bidflow.functions.text import compact_time, iso_seconds, json_field
 from bidflow.schemas import PROVIDED
 
 
+# Made-up rows that one row is turned into at a time.
+SLICE = 10_000
+
+
 def provided(
     df: DataFrame,
     source_code: Column,
@@ -88,9 +92,15 @@ def stub_items(sources: DataFrame, now: datetime, copies: int = 1) -> DataFrame:
     With one copy this is the smoke-test provider; with many it is a load
     generator. ``now`` is an argument so that runs can be repeated.
     """
-    second = F.explode(F.sequence(F.lit(now), F.lit(now + timedelta(seconds=copies - 1)), F.make_dt_interval(secs=F.lit(1.0))))
+    # Slices of copies per source come first, so that a large load is many small rows for many tasks.
+    slices = sources.select("id", "code", F.explode(F.sequence(F.lit(0), F.lit((copies - 1) // SLICE))).alias("slice"))
+    if copies > SLICE:
+        slices = slices.repartition("id", "slice")
+    nth = F.explode(F.sequence(F.col("slice") * SLICE, F.least(F.col("slice") * SLICE + SLICE, F.lit(copies)) - 1))
     at = F.col("at")
-    rows = sources.select("id", "code", second.alias("at"))
+    rows = slices.select("id", "code", nth.alias("nth")).select(
+        "id", "code", (F.lit(now) + F.make_dt_interval(secs=F.col("nth").cast("double"))).alias("at")
+    )
     text = F.concat(F.lit("Stub payload for source "), F.col("code"), F.lit(" at "), iso_seconds(at))
     item = F.concat_ws("-", F.lit("stub"), "code", compact_time(at))
     return provided(rows, F.col("code"), item, text, None, at, F.coalesce("id", F.lit(0)))

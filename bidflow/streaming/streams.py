@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ def continuous_harvest(
     """
 
     def one(batch: DataFrame, epoch: int) -> None:
-        harvest(warehouse, sources, batch, codes, f"{name}-{epoch:010d}", now or datetime.now(), mode)
+        harvest(warehouse, sources, batch, codes, f"{name}-{epoch:010d}", now or datetime.now(timezone.utc), mode)
 
     return provided.writeStream.foreachBatch(one)
 
@@ -64,6 +64,8 @@ def window_counts(items: DataFrame, when: str, size: str, lateness: str, slide:
     )
 
 
+MAX_STEP_MINUTES = 10
+
 ALERT = T.StructType(
     [
         T.StructField("source_id", T.LongType()),
@@ -73,7 +75,7 @@ ALERT = T.StructType(
 )
 
 
-def _silence(limit_ms: int) -> StatefulProcessor:
+def _silence(limit_ms: int, step_ms: int) -> StatefulProcessor:
     # Defined inside a function so that tasks need no copy of this package.
     class Silence(StatefulProcessor):
         """Remembers when a source was last heard; alerts on gaps longer than the limit."""
@@ -102,7 +104,8 @@ def _silence(limit_ms: int) -> StatefulProcessor:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.last.update((last,))
-            self.handle.registerTimer(last + limit_ms)
+            # Not before the window that could hold an item just in time is closed.
+            self.handle.registerTimer(-(-(last + limit_ms) // step_ms) * step_ms)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             yield self._alert(key, self.last.get()[0])
@@ -115,21 +118,23 @@ def _silence(limit_ms: int) -> StatefulProcessor:
     return Silence()
 
 
-def silence_alerts(items: DataFrame, when: str, limit_minutes: int, lateness: str, step: str = "10 minutes") -> DataFrame:
+def silence_alerts(items: DataFrame, when: str, limit_minutes: int, lateness: str) -> DataFrame:
     """One alert for every time a source is silent for longer than ``limit_minutes``.
 
-    Items are first reduced to the first and last moment per source and ``step``
+    Items are first reduced to the first and last moment per source and window
     (with map-side combine), so the Python state sees a few rows per source no
-    matter how many items it sends. Needs the RocksDB state store provider.
+    matter how many items it sends. Windows are no longer than the limit: a
+    silence inside one is never too long. Needs the RocksDB state store provider.
     """
+    step = min(limit_minutes, MAX_STEP_MINUTES)
     heard = (
         items.withWatermark(when, lateness)
-        .groupBy(F.window(when, step), "source_id")
+        .groupBy(F.window(when, f"{step} minutes"), "source_id")
         .agg(F.min(F.unix_millis(when)).alias("first_ms"), F.max(F.unix_millis(when)).alias("last_ms"))
         .select("source_id", "first_ms", "last_ms", F.window_time("window").alias("at"))
     )
     return heard.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_silence(limit_minutes * 60_000),
+        statefulProcessor=_silence(limit_minutes * 60_000, step * 60_000),
         outputStructType=ALERT,
         outputMode="Append",
         timeMode="EventTime",

@@ -169,3 +169,58 @@ def test_dedup_key_policies(spark):
     assert equal[0] == equal[1] != equal[2]
     with pytest.raises(ValueError):
         keys.dedup_key(df, ["title"], "other")
+
+
+@pytest.mark.parametrize(
+    "written, amount",
+    [
+        ("$1,200.50", "1200.50"),
+        ("1.200,50 €", "1200.50"),
+        ("$1,200", "1200.00"),
+        ("1,200,000 usd", "1200000.00"),
+        ("1.200.000 руб", "1200000.00"),
+        ("1,2 млн", "1.20"),
+        ("цена 12,500 руб", "12.50"),
+        ("7.5.", "7.50"),
+        ("1 200,5", "1200.50"),
+        ("0,125 $", "0.13"),
+    ],
+)
+def test_marks_of_thousands_and_decimals(spark, written, amount):
+    assert one(spark, values.price(F.col("t")), t=written) == Decimal(amount)
+
+
+@pytest.mark.parametrize(
+    "written, number",
+    [
+        ("+7 (912) 345-67-89 доб. 12", "+79123456789"),
+        ("8 (912) 345-67-89, вн. 7", "+79123456789"),
+        ("+49 30 1234567 ext 22", "+49301234567"),
+        ("+49 30 1234567 (ext. 22)", "+49301234567"),
+        ("9123456789", "+79123456789"),
+    ],
+)
+def test_phone_extensions_are_cut_off(spark, written, number):
+    assert one(spark, values.phone(F.col("t")), t=written) == number
+
+
+def test_links_in_any_quotes(spark):
+    page = "<a href='u1'>1</a><A class=\"x > y\" HREF=u2>2</A><a\nhref=\"u3?a=1&amp;b=2\" id=z>3</a><a name=n>4</a><area href=u5>"
+    assert one(spark, text.html_links(F.col("h")), h=page) == ["u1", "u2", "u3?a=1&b=2"]
+
+
+def test_all_entities(spark):
+    page = "<p>&#x41;&#X1F600;&euro;&lt;b&gt; &amp;lt; &eacute;&unknown; &#0; &#xD800; &AMP; a & b;</p>"
+    assert one(spark, text.html_text(F.col("h")), h=page) == "A😀€<b> &lt; é&unknown; &#0; &#xD800; & a & b;"
+
+
+def test_relative_dates_count_back(spark):
+    at = datetime(2025, 12, 3, 10, 5)
+    for written, expected in (
+        ("5 минут назад", datetime(2025, 12, 3, 10, 0)),
+        ("2 часа назад", datetime(2025, 12, 3, 8, 5)),
+        ("3 hours ago", datetime(2025, 12, 3, 7, 5)),
+        ("2 дня назад", datetime(2025, 12, 1, 10, 5)),
+        ("1 day ago", datetime(2025, 12, 2, 10, 5)),
+    ):
+        assert one(spark, values.moment(F.col("t"), F.col("r")), t=written, r=at) == expected, written

@@ -228,7 +228,7 @@ def test_rules_modes_nulls_and_sources(spark):
         {"cargo_type": "sand", "price_value": Decimal(10), "source_id": 2},
     ])
     table = config(spark, [
-        ("floor", True, {"mode": "include", "field": "price_value", "op": "ge", "values": ["50"], "sources": ["a", "nowhere"]}),
+        ("floor", True, {"mode": "include", "field": "price_value", "op": "ge", "values": ["50"], "sources": ["a"]}),
         ("north", True, {"mode": "exclude", "field": "load_region", "op": "in", "values": ["north"]}),
         ("off", False, {"mode": "exclude", "field": "title", "op": "rlike", "values": ["."]}),
     ])
@@ -236,6 +236,11 @@ def test_rules_modes_nulls_and_sources(spark):
     judged = rules.filter_bids(stored, table, src)
     assert {r.id: r.reasons for r in judged.collect()} == {1: [], 2: ["floor", "north"], 3: ["cargo_type_missing"], 4: []}
     assert sorted(r.id for r in rules.kept(judged).collect()) == [1, 4]
+    with pytest.raises(ValueError, match="unknown sources"):
+        rules.filter_bids(stored, table)
+    lost = config(spark, [("floor", True, {"mode": "include", "field": "price_value", "op": "ge", "values": ["50"], "sources": ["nowhere"]})])
+    with pytest.raises(ValueError, match="nowhere"):
+        rules.filter_bids(stored, lost, src)
 
 
 def test_rules_name_only_bid_fields(spark):
@@ -352,6 +357,8 @@ def test_exports(spark, tmp_path):
     ])
     paths = run_exports(stored, exports, table, str(tmp_path))
     assert list(paths) == ["all"]
+    with pytest.raises(ValueError, match="mni"):
+        export_view(stored, table, ["min", "mni"])
     back = spark.read.schema("external_id string, title string, price_value string").csv(
         paths["all"], header=True, escape='"', multiLine=True, nullValue=""
     )
@@ -363,3 +370,21 @@ def test_exports(spark, tmp_path):
 def test_lookup_by_ids_counts_each_row_once(spark):
     asked = spark.createDataFrame([(1,), (1,), (77,)], "id long")
     assert lookups.by_ids(R.bids(spark, [{}, {}]), asked).count() == 1
+
+
+def test_several_dedup_strategies_mark_together(spark):
+    stored = R.bids(spark, [
+        {"title": "a", "external_id": "1"}, {"title": "a", "external_id": "2"}, {"title": "b", "external_id": "2"}, {"title": "c", "external_id": "3"},
+    ])
+    strategies = [{"keys": ["title"]}, {"keys": ["external_id"], "keep": "last"}]
+    marked = dedup.mark_by_all(stored, strategies).orderBy("id").collect()
+    assert [r.is_duplicate for r in marked] == [False, True, False, False]
+    assert len({r.dedup_key for r in marked}) == 3 and all(r.dedup_key for r in marked)
+
+
+def test_large_keys_are_listed_without_a_limit(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 2000).cast("string").alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("id").alias("least"))
+    joined = attach_group(rows, groups, ["key"], "inner", hot_rows=2)
+    assert joined.count() == 4000 and joined.where("least <> id % 2000").count() == 0
+    assert "Limit" not in joined._jdf.queryExecution().executedPlan().toString()

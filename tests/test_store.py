@@ -1,7 +1,7 @@
 """Mappings, ids, publishing, harvest, upsert."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -14,6 +14,7 @@ from bidflow.operators.ids import with_dense_ids, with_position
 from bidflow.operators.upsert import upsert_sources
 from bidflow.plans.harvest import harvest, stage_batch
 from bidflow.plans.publish import Warehouse
+from bidflow.plans.refine import reprocess
 from bidflow.sources.providers import stub_items
 from bidflow.sources.tables import read_config, read_table
 
@@ -164,11 +165,119 @@ def test_uncommitted_batches_are_invisible_and_replaced(spark, warehouse):
 def test_many_day_batches_keep_every_row(spark, warehouse):
     rows = R.raw_items(spark, [(i, 1, str(i), "p") for i in range(1, 201)])
     spread = rows.withColumn("created_at", F.col("created_at") + F.make_dt_interval((F.col("id") % 40).cast("int")))
-    warehouse.stage("raw_items", "b1", spread, many_days=True)
+    warehouse.stage("raw_items", "b1", spread)
     found = warehouse.staged("raw_items", "b1")
     assert found.count() == 200 and found.select("created_part").distinct().count() == 40
 
 
+def raw_of(spark, warehouse, batch, count, first=0, days=0):
+    src = R.sources(spark, [(1, "A", "A", True)])
+    items = R.provided(spark, [("A", 0, f"e{i}", f"p{i}") for i in range(first, first + count)])
+    if days:
+        items = items.withColumn("created_at", F.col("created_at") + F.make_dt_interval(F.lit(days)))
+    assert harvest(warehouse, src, items, R.codes(spark, "A"), batch, NOW)
+    return src
+
+
+def configuration(spark, **tables):
+    names = ("config_classifier", "config_filter_rule", "config_dedup")
+    rows = {n: [(i, c, c, True, json.dumps(d), R.T0, R.T0) for i, (c, d) in enumerate(tables.get(n, {}).items())] for n in names}
+    return {n: spark.createDataFrame(rows[n], schemas.CONFIG) for n in names}
+
+
+def test_reprocessing_brings_rejected_bids_back_and_can_be_repeated(spark, warehouse):
+    src = raw_of(spark, warehouse, "b1", 4)
+    places = spark.createDataFrame([], "alias string, place string, region string")
+    anything = {"c": {"target": "cargo_type", "value": "x", "priority": 1, "keywords": [], "regex": "."}}
+    strict = {"r": {"mode": "include", "field": "description", "op": "in", "values": ["p0", "p1"]}}
+    reprocess(warehouse, ["b1"], "r1", src, places, configuration(spark, config_classifier=anything, config_filter_rule=strict), NOW)
+    assert sorted(r.id for r in warehouse.read("bids").collect()) == [1, 2]
+    loose = configuration(spark, config_classifier=anything)
+    for batch, of in (("r2", ["b1"]), ("r3", ["b1", "r1"]), ("r4", ["r2"])):
+        assert reprocess(warehouse, of, batch, src, places, loose, NOW)
+        found = warehouse.read("bids").orderBy("id").collect()
+        assert [(r.id, r.raw_item_id, r.created_at) for r in found] == [(i, i, NOW) for i in (1, 2, 3, 4)], batch
+    assert reprocess(warehouse, ["b1"], "r4", src, places, loose, NOW) is False
+    with pytest.raises(ValueError, match="nowhere"):
+        reprocess(warehouse, ["nowhere"], "r5", src, places, loose, NOW)
+    jobs = {r.batch_id: r for r in warehouse.read("jobs", keep_partition=True).collect()}
+    assert (jobs["r1"].items_total, jobs["r1"].items_created, jobs["r1"].items_updated) == (4, 0, 2)
+    assert (jobs["b1"].job_type, jobs["b1"].items_created, jobs["r2"].items_updated) == ("harvest", 4, 4)
+    assert sorted(r.id for r in jobs.values()) == [1, 2, 3, 4, 5]
+
+
+def test_raw_items_without_a_bid_get_new_ids(spark, warehouse):
+    src = raw_of(spark, warehouse, "b1", 2)
+    raw = warehouse.read("raw_items").withColumns({"id": F.col("id") + 10, "external_id": F.lit("only raw")})
+    warehouse.stage("raw_items", "b2", raw)
+    warehouse.commit("b2", NOW)
+    places = spark.createDataFrame([], "alias string, place string, region string")
+    anything = {"c": {"target": "cargo_type", "value": "x", "priority": 1, "keywords": [], "regex": "."}}
+    reprocess(warehouse, ["b2"], "r1", src, places, configuration(spark, config_classifier=anything), NOW)
+    assert {r.raw_item_id: r.id for r in warehouse.read("bids").collect()} == {1: 1, 2: 2, 11: 3, 12: 4}
+
+
+def test_manifest_is_folded_and_reads_name_their_folders(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "wh"), log_files=3)
+    rows = R.raw_items(spark, [(1, 1, "a", "p")])
+    for i in range(8):
+        warehouse.stage("raw_items", f"b{i}", rows.withColumn("id", F.lit(i + 1).cast("bigint")))
+        warehouse.commit(f"b{i}", NOW)
+    assert sorted(warehouse.batches()) == [f"b{i}" for i in range(8)]
+    assert warehouse.last_ids() == (8, 0) and warehouse.read("raw_items").count() == 8
+    files = {f for f in warehouse.manifest().inputFiles()}
+    assert len(files) <= 4 and any("snapshot-2" in f for f in files)
+    warehouse.stage("raw_items", "open", rows)
+    assert not any("batch_id=open" in f for f in warehouse.read("raw_items").inputFiles())
+
+
+def test_idempotent_harvest_reads_keys_only(spark, warehouse):
+    raw_of(spark, warehouse, "b1", 3)
+    known = warehouse.read("raw_keys")
+    assert known.columns == ["source_id", "key"] and known.count() == 3
+    text = known.select("key")._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in text
+
+
+def test_two_writers_cannot_take_the_same_ids(spark, warehouse):
+    src = raw_of(spark, warehouse, "b1", 1)
+    items = R.provided(spark, [("A", 0, "x", "p")])
+    assert stage_batch(warehouse, src, items, R.codes(spark, "A"), "b2", NOW)
+    other = Warehouse(spark, warehouse.root)
+    harvest(other, src, R.provided(spark, [("A", 0, "y", "p")]), R.codes(spark, "A"), "b3", NOW)
+    with pytest.raises(RuntimeError, match="b2"):
+        warehouse.commit("b2", NOW)
+    assert sorted(warehouse.batches()) == ["b1", "b3"]
+
+
+def test_retention_and_deletes_are_published(spark, warehouse):
+    src = raw_of(spark, warehouse, "b1", 2)
+    raw_of(spark, warehouse, "b2", 2, first=2, days=30)
+    warehouse.replace("sources", R.sources(spark, [(1, "A", "A", True), (2, "B", "B", True)]))
+    cutoff = datetime(R.T0.year, R.T0.month, R.T0.day + 10)
+    assert warehouse.retain("t1", cutoff, NOW)
+    assert sorted(r.id for r in warehouse.read("raw_items").collect()) == [3, 4]
+    assert {r.id: r.raw_item_id for r in warehouse.read("bids").collect()} == {1: None, 2: None, 3: 3, 4: 4}
+    assert warehouse.retain("t2", cutoff, NOW) is False
+    with pytest.raises(ValueError, match="bids"):
+        warehouse.delete_sources("d1", src, NOW)
+    warehouse.delete_sources("d2", warehouse.current("sources").where("id = 2"), NOW)
+    assert [r.id for r in warehouse.current("sources").collect()] == [1]
+
+
+def test_since_prunes_day_folders(spark, warehouse):
+    raw_of(spark, warehouse, "b1", 2)
+    raw_of(spark, warehouse, "b2", 2, first=2, days=30)
+    moment = R.T0 + timedelta(days=30)
+    items = warehouse.read("raw_items", keep_partition=True)
+    marks = spark.createDataFrame([(1, moment)], "source_id bigint, since timestamp")
+    for found in (lookups.since(items, 1, moment), lookups.since_each(items, marks)):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        scan = text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        assert "created_part" in scan and ">=" in scan
+        assert found.count() == 2
+
+
 def test_upsert(spark, warehouse):
     warehouse.replace("sources", R.sources(spark, [(1, "a", "A", True), (2, "b", "B", True)]))
     change = "id long, code string, name string, kind string, is_enabled boolean, description string"

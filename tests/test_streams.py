@@ -88,3 +88,11 @@ def test_silence_alerts_do_not_depend_on_batches(spark, tmp_path, rocksdb):
         found = [(r.source_id, int((r.last_seen - R.T0).total_seconds() // 60)) for r in out.collect()]
         assert sorted(found) == sorted(expected), name
         assert out.where(F.col("silent_since") != F.col("last_seen") + F.expr("interval 2 hours")).count() == 0
+
+
+def test_short_silences_are_seen(spark, tmp_path, rocksdb):
+    events = [(1, R.T0 + timedelta(minutes=m), i) for i, m in enumerate([0, 2, 8, 9, 60])]
+    land(spark, tmp_path / "in", [events], EVENT)
+    alerts = streams.silence_alerts(arrive(spark, tmp_path / "in", EVENT), "at", 5, "1 minute")
+    out = streams.drain_to_table(alerts, str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted(int((r.last_seen - R.T0).total_seconds() // 60) for r in out.collect()) == [2, 9]
