@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from bidflow.llm.common import flat, mixed, pieces, total, word_hashes
 from bidflow.shared import staged
 
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 3_000_000
+BLOCK_BYTES = 6 << 20
+SHARD_TOKENS = 2_000_000
 HEAVY = 64  # a state with more than 1 / HEAVY of all training tokens is spread; there are fewer than HEAVY
 WORD_BITS = 40
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
