@@ -126,7 +126,7 @@ def edits_of(passage: bytes, text: np.ndarray, low: int, high: int, budget: int)
         new[:-1] = np.minimum(new[:-1], cost[1:] + 1)
         new = np.where((there < 0) | (there > len(text)), outside, new)
         cost = np.minimum.accumulate(new - steps) + steps
-        if cost.min() > budget:
+        if i % 8 == 0 and cost.min() > budget:
             return int(cost.min()), -1
     best = int(cost.argmin())
     return int(cost[best]), max(0, int(diagonals[best]))
@@ -159,7 +159,12 @@ def found_in(texts: pa.Array, index: Index) -> list[list[dict]]:
     bands = np.concatenate([diagonal // (2 * width) * 2, (diagonal + width) // (2 * width) * 2 + 1])
     pair = np.tile(doc * len(index.passages) + passage, 2)
     most = int(bands.max(initial=0)) + 1
-    keys, shared = np.unique(pair * most + bands, return_counts=True)
+    # The bound is on q-grams of the passage: one that a text repeats counts once.
+    offset = np.tile(index.at_offset[place], 2)
+    each = np.sort((pair * most + bands) * PASSAGE + offset)
+    each = each[np.append(True, each[1:] != each[:-1])[: len(each)]] // PASSAGE
+    first = np.flatnonzero(np.append(True, each[1:] != each[:-1])) if len(each) else np.zeros(0, dtype=np.int64)
+    keys, shared = each[first], np.diff(np.append(first, len(each)))
     pair, band = keys // most, keys % most
     good = shared >= index.least[pair % max(len(index.passages), 1)] if len(keys) else np.zeros(0, dtype=bool)
     for d, p, b in zip(*(x[good].tolist() for x in (pair // max(len(index.passages), 1), pair % max(len(index.passages), 1), band)), strict=True):
