@@ -38,6 +38,14 @@ def extended(schema: T.StructType, **kinds: str) -> T.StructType:
     return T.StructType([*schema.fields, *more])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def total(df: DataFrame, expression: Column, default=0):
     """One number over all rows."""
     value = df.agg(expression).first()[0]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import SLICE_BYTES, extended, flat, pieces
+from bidflow.llm.common import SLICE_BYTES, extended, flat, pieces, unused
 
 BINS = 1 << 14
 GRAMS = (2, 3, 4)
@@ -128,15 +128,16 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     other columns pass through, but those named lang_pred or score are replaced.
     """
     rest = docs.drop("text", "lang_pred", "score")
-    rows = docs.select(*[docs[c] for c in rest.columns], docs["text"].alias("_text"))
+    name = unused(rest, "text")
+    rows = docs.select(*rest.columns, F.col("text").alias(name))
     schema = extended(rest.schema, lang_pred="string", score="double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         letter = regex.compile(r"\p{L}")
-        for batch in pieces(batches, "_text", SLICE_BYTES // 2):
-            texts = batch.column("_text")
+        for batch in pieces(batches, name, SLICE_BYTES // 2):
+            texts = batch.column(batch.num_columns - 1)
             readable = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], dtype=bool)
             names = np.full(len(texts), UNKNOWN, dtype=object)
             score = np.zeros(len(texts))

@@ -115,21 +115,19 @@ def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
 
     Null text counts as empty: one empty line, never dropped, since its key is
     shorter than ``min_chars``. Null ids, equal ids and equal rows are documents
-    like any other; extra columns pass through, whatever their names, except the
-    names listed here, which are replaced. An empty table gives an empty one.
+    like any other; extra columns pass through, whatever their names, but those
+    named like the four new ones are replaced. An empty table gives an empty one.
     """
-    own = ("n_lines", "n_dropped", "kept", "kept_text", "text_hash", "dropped")
-    rows = with_row_key(docs.drop(*own))
+    own = ("n_lines", "n_dropped", "kept", "kept_text")
+    # The row as one value: no name of its columns can clash with one used here.
+    packed = docs.drop(*own).select(F.struct(*docs.drop(*own).columns).alias("row"))
+    rows = packed.withColumn("text_hash", F.xxhash64(F.coalesce("row.text", F.lit(""))))
     drops = line_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep)
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "dropped")
-    same = rows["doc_id"].eqNullSafe(drops["_id"]) & (rows["text_hash"] == drops["_hash"])
-    lines = lines_of(F.col("text"))
+    drops = drops.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "dropped")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    lines = lines_of(F.col("row.text"))
     none = F.array().cast("array<int>")
-    joined = (
-        rows.join(drops, same, "left")
-        .drop("_id", "_hash", "text_hash")
-        .withColumns({"n_lines": F.size(lines), "dropped": F.coalesce("dropped", none)})
-    )
+    joined = rows.join(drops, same, "left").select("row", F.coalesce("dropped", none).alias("dropped"), F.size(lines).alias("n_lines"))
     kept_lines = let(
         lines,
         lambda all_: F.flatten(
@@ -137,11 +135,7 @@ def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
         ),
     )
     whole = F.size("dropped") == 0
-    return (
-        joined.withColumn("kept", kept_runs(F.col("dropped"), F.col("n_lines")))
-        .withColumn(
-            "kept_text", F.when(whole, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines, "\n"))
-        )
-        .withColumn("n_dropped", F.size("dropped"))
-        .drop("dropped")
+    text = F.when(whole, F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(kept_lines, "\n"))
+    return joined.withColumn("kept", kept_runs(F.col("dropped"), F.col("n_lines"))).select(
+        "row.*", "n_lines", F.size("dropped").alias("n_dropped"), "kept", text.alias("kept_text")
     )

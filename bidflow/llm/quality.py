@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import extended, flat, grouped, pieces, word_hashes
+from bidflow.llm.common import extended, flat, grouped, pieces, unused, word_hashes
 
 SHRINKAGE = 0.1
 FLOOR = 1e-4
@@ -64,12 +64,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the array ``x`` in place of ``text``."""
     rest = docs.drop("text", "x")
-    rows = docs.select(*[docs[c] for c in rest.columns], docs["text"].alias("_text"))
+    name = unused(rest, "text")
+    rows = docs.select(*rest.columns, F.col("text").alias(name))
     schema = extended(rest.schema, x="array<double>")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            x = statistics(batch.column("_text"))
+        for batch in pieces(batches, name):
+            x = statistics(batch.column(batch.num_columns - 1))
             flat_x = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N, x.reshape(-1))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, flat_x], names=schema.names)

@@ -15,8 +15,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from bidflow.llm.common import extended, offsets_of, pieces
+from bidflow.llm.common import extended, offsets_of, pieces, unused
 
 CALL_BYTES = 1 << 18
 MEMO_PIECES = 500_000
@@ -61,7 +62,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, column: str = "t
     """
     own = ("n_bytes", "n_tokens", "over_limit")
     rest = docs.drop(column, *own)
-    rows = docs.select(*[docs[c] for c in rest.columns], docs[column].alias("_text"))
+    name = unused(rest, "text")
+    rows = docs.select(*rest.columns, F.col(column).alias(name))
     schema = extended(rest.schema, n_bytes="bigint", n_tokens="bigint", over_limit="boolean")
     raw = Path(path).read_bytes()
     definition = json.loads(raw) if path.endswith(".json") else None
@@ -84,8 +86,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, column: str = "t
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, cut, memo = encoder(), splitter(path, definition), {}
-        for batch in pieces(batches, "_text"):
-            texts = batch.column("_text").fill_null("")
+        for batch in pieces(batches, name):
+            texts = batch.column(batch.num_columns - 1).fill_null("")
             parts = [list(cut(t)) for t in texts.to_pylist()]
             new = list({p for part in parts for p in part}.difference(memo))
             if len(memo) + len(new) > MEMO_PIECES:

@@ -158,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, width: int =
 
     sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    nothing = Chain(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), (np.array([-50.0, *[0.0] * 0]),))
     if not n_toxic or not n_clean:
-        return nothing
+        none = np.zeros(0, dtype=np.int64)
+        return Chain(none.view(np.uint64), none, none, tuple(np.append(-50.0, np.zeros(k)) for k in range(len(CATEGORIES))))
     counted = chosen.mapInArrow(frequencies, "h bigint, t1 bigint, t2 bigint, c1 bigint, c2 bigint")
     total = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("t1", "t2", "c1", "c2")])
     levels = F.explode(
@@ -222,7 +222,6 @@ def scored(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             p = chain.probabilities(batch.column("text"))
-            p = p if p.shape[1] == len(CATEGORIES) else np.zeros((batch.num_rows, len(CATEGORIES)))
             columns = [*batch.columns, *[pa.array(p[:, k]) for k in range(len(CATEGORIES))], pa.array(p[:, -1] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
