@@ -13,20 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bidflow.functions.text import tokens
 from bidflow.operators.skew import HOT_ROWS, attach_group, salted_join
-from bidflow.shared import staged
+from bidflow.shared import cleared, staged
 
 # 64 minima; band b starts at minimum 4 * b and takes as many as its level says.
 BANDS, STEP, LEVELS = 16, 4, (4, 8, 16, 32)
-SLICE = 4096
-_SEEDS = np.random.default_rng(20240101).integers(1, 2**63, size=(2, BANDS * STEP), dtype=np.uint64)
 
 
 def shingles(words: Column, size: int = 3) -> Column:
@@ -39,35 +34,13 @@ def shingles(words: Column, size: int = 3) -> Column:
     return F.array_distinct(runs)
 
 
-def band_keys(sets: Column) -> Column:
-    """MinHash of a hash set: per band one key for each level, widest bucket first."""
-    scale, shift = _SEEDS[0] | np.uint64(1), _SEEDS[1]
-    spread, fold_in = np.uint64(33), np.uint64(29)
-    mix, golden = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
-
-    def keys(values) -> list[np.ndarray]:
-        h = np.asarray(values, dtype=np.int64).view(np.uint64)
-        h = (h ^ (h >> spread)) * mix
-        h ^= h >> spread
-        # All minima at once, but over a slice of the set at a time to bound the memory.
-        least = np.full(len(scale), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for start in range(0, len(h), SLICE):
-            mixed = (h[start : start + SLICE] * scale[:, None] + shift[:, None]) >> np.uint64(16)
-            np.minimum(least, mixed.min(axis=1), out=least)
-        folded, out = np.zeros(BANDS, dtype=np.uint64), []
-        for used in range(1, max(LEVELS) + 1):
-            folded = (folded ^ np.roll(least, 1 - used)[::STEP]) * golden
-            folded ^= folded >> fold_in
-            if used in LEVELS:
-                out.append(folded.view(np.int64))
-        return list(np.array(out).T)
-
-    # Defined here, not in the module, so that tasks need no copy of this package.
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-    def fold(column: pd.Series) -> pd.Series:
-        return column.map(keys)
-
-    return fold(sets)
+def band_keys(texts: DataFrame) -> DataFrame:
+    """MinHash of hash sets (id, shingles): (id, keys), per band one key for each level, widest bucket first."""
+    least = [F.min(F.xxhash64(F.lit(i), F.col("shingle"))) for i in range(BANDS * STEP)]
+    minima = texts.select("id", F.explode("shingles").alias("shingle")).groupBy("id").agg(F.array(*least).alias("minima"))
+    twice = F.concat("minima", "minima")
+    keys = [F.array(*[F.xxhash64(F.slice(twice, band * STEP + 1, used)) for used in LEVELS]) for band in range(BANDS)]
+    return minima.select("id", F.array(*keys).alias("keys"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -85,37 +58,41 @@ def connected_groups(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     nodes = edges.select("id").unionAll(edges.select(F.col("leader").alias("id"))).distinct()
     labels = staged(nodes.withColumn("label", F.col("id")), "labels")
     sizes = staged(edges.groupBy("leader").agg(F.count("*").alias("n_rows")), "degrees")
+    spark = edges.sparkSession
     while True:
-        up = (
-            edges.join(labels, "id")
-            .groupBy(F.col("leader").alias("id"))
-            .agg(F.min("label").alias("up"))
-        )
-        led = labels.withColumnsRenamed({"id": "leader", "label": "leader_label"}).join(sizes, "leader")
-        down = (
-            attach_group(edges, led, ["leader"], "inner", hot_rows=hot_rows)
-            .groupBy("id")
-            .agg(F.min("leader_label").alias("down"))
-        )
-        moved = staged(
-            labels.join(up, "id", "left")
-            .join(down, "id", "left")
-            .select("id", F.col("label").alias("old"), F.least("label", "up", "down").alias("label")),
-            "moved",
-        )
-        per_label = moved.groupBy("label").agg(F.count("*").alias("n_rows"))
-        roots = moved.select(F.col("id").alias("label"), F.col("label").alias("root")).join(per_label, "label")
-        labels = staged(
-            attach_group(moved, roots, ["label"], hot_rows=hot_rows).select(
-                "id", F.coalesce("root", "label").alias("label"), "old"
-            ),
-            "labels",
-        )
+        # What a round has staged goes with it, but for its labels.
+        with cleared(spark) as scope:
+            labels = scope.keep(_spread(edges, labels, sizes, hot_rows))
         if labels.where(F.col("label") != F.col("old")).isEmpty():
             return labels.select("id", F.col("label").alias("group_id"))
         labels = labels.drop("old")
 
 
+def _spread(edges: DataFrame, labels: DataFrame, sizes: DataFrame, hot_rows: int) -> DataFrame:
+    """One round: the least label among the neighbours, then the label of that label."""
+    up = edges.join(labels, "id").groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("up"))
+    led = labels.withColumnsRenamed({"id": "leader", "label": "leader_label"}).join(sizes, "leader")
+    down = (
+        attach_group(edges, led, ["leader"], "inner", hot_rows=hot_rows)
+        .groupBy("id")
+        .agg(F.min("leader_label").alias("down"))
+    )
+    moved = staged(
+        labels.join(up, "id", "left")
+        .join(down, "id", "left")
+        .select("id", F.col("label").alias("old"), F.least("label", "up", "down").alias("label")),
+        "moved",
+    )
+    per_label = moved.groupBy("label").agg(F.count("*").alias("n_rows"))
+    roots = moved.select(F.col("id").alias("label"), F.col("label").alias("root")).join(per_label, "label")
+    return staged(
+        attach_group(moved, roots, ["label"], hot_rows=hot_rows).select(
+            "id", F.coalesce("root", "label").alias("label"), "old"
+        ),
+        "labels",
+    )
+
+
 def near_links(
     texts: DataFrame, threshold: float, price_tolerance: float | None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -127,8 +104,10 @@ def near_links(
             "gate",
             "price",
             F.size("shingles").alias("n"),
-            F.posexplode(band_keys(F.col("shingles"))).alias("band", "keys"),
-        ).select("id", "price", "n", "keys", F.xxhash64("band", "gate").alias("place")),
+        )
+        .join(band_keys(texts), "id")
+        .select("id", "gate", "price", "n", F.posexplode("keys").alias("band", "keys"))
+        .select("id", "price", "n", "keys", F.xxhash64("band", "gate").alias("place")),
         "bands",
     )
     wide = texts.select(F.col("id").alias("leader"), F.col("shingles").alias("leader_shingles"))

@@ -14,7 +14,7 @@ from bidflow.operators.mapping import backfill_source, bid_from_entity, build_bi
 from bidflow.operators.reports import job_counters
 from bidflow.plans.publish import Warehouse
 from bidflow.schemas import JOBS
-from bidflow.shared import staged
+from bidflow.shared import cleared, staged
 
 # Order in which new raw items get their ids.
 INSERT_ORDER = ("source_id", "external_id", "_hash", "received_at", "url")
@@ -112,8 +112,9 @@ def harvest(
     if warehouse.is_committed(batch_id):
         require_codes(codes, sources)
         return False
-    if not stage_batch(warehouse, sources, provided, codes, batch_id, now, mode):
-        return False
-    log_jobs(warehouse, batch_id, now)
-    warehouse.commit(batch_id, now)
+    with cleared(warehouse.spark):
+        if not stage_batch(warehouse, sources, provided, codes, batch_id, now, mode):
+            return False
+        log_jobs(warehouse, batch_id, now)
+        warehouse.commit(batch_id, now)
     return True

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
 
 def local_session(cores: str = "*", app: str = "bidflow", **conf: str) -> SparkSession:
     """A single-machine session for tests and bench; a cluster brings its own."""
@@ -55,5 +60,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     keeps columnar reads, column pruning and file statistics.
     """
     path = new_path(df.sparkSession, label)
+    scope = _scope.get()
+    if scope is not None:
+        scope.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scope:
+    """Staged tables of a piece of work, and those that outlive it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Let the last staged table, ``df``, live on in the scope around this one."""
+        self.kept.append(self.paths[-1])
+        return df
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Scope]:
+    """Delete at the end what was staged inside: for work whose result is written by then."""
+    outer, scope = _scope.get(), Scope()
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer.paths += scope.kept
+        for path in scope.paths:
+            if path not in scope.kept:
+                hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
