@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few MB for the Python tasks of this session, if it still has Spark's much larger default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -52,7 +59,7 @@ def total(df: DataFrame, expression: Column, default=0):
     return default if value is None else value
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES * 4) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:

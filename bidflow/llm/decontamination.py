@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import LOWER, SLICE_BYTES, WHITE, extended, flat, pieces, total
+from bidflow.llm.common import LOWER, SLICE_BYTES, WHITE, bounded_batches, extended, flat, pieces, total
 
 Q = 8
 EDITS = 0.1
@@ -191,6 +191,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bloc
     characters are never found. Every row is kept, repeated or not; other
     columns pass through, but one named leaks is replaced.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
     n_blocks = max(1, -(-int(total(items, F.sum(F.octet_length("text")))) // block_bytes))
     rest = docs.drop("leaks")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import BASE, MASK, mixed, pieces
+from bidflow.llm.common import BASE, MASK, bounded_batches, mixed, pieces
 
 KEEP = 128
 # A dictionary of so many phrases is emptied, as compressors do, so that memory stays bounded.
@@ -106,6 +106,7 @@ def compared(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     columns are left out; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     probs = [i / (n * BLOCKS_PER_PARTITION) for i in range(1, n * BLOCKS_PER_PARTITION)]

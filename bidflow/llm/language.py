@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import SLICE_BYTES, extended, flat, pieces, unused
+from bidflow.llm.common import SLICE_BYTES, bounded_batches, extended, flat, pieces, unused
 
 BINS = 1 << 14
 GRAMS = (2, 3, 4)
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, rid
                 [batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"]
             )
 
+    bounded_batches(docs.sparkSession)
     got = sample(docs, rows).mapInArrow(bitmaps, "lang string, bits binary").collect()
     if not got:
         return None
@@ -128,6 +129,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     other columns pass through, but those named lang_pred or score are replaced.
     """
     rest = docs.drop("text", "lang_pred", "score")
+    bounded_batches(docs.sparkSession)
     name = unused(rest, "text")
     rows = docs.select(*rest.columns, F.col("text").alias(name))
     schema = extended(rest.schema, lang_pred="string", score="double")

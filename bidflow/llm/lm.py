@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import flat, mixed, pieces, total, word_hashes
+from bidflow.llm.common import bounded_batches, flat, mixed, pieces, total, word_hashes
 from bidflow.shared import staged
 
 BLOCK_BYTES = 6 << 20
@@ -349,6 +349,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int =
     columns are left out; an empty table gives an empty one. Without training
     texts all words have probability 1, as the one unknown word.
     """
+    bounded_batches(docs.sparkSession)
     bodies = staged(blocks(docs.select("doc_id", "text", "held_out"), block_bytes), "lm-blocks")
     sums = bodies.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "train_docs", "train_tokens")]).first()
     n_tokens, texts, train_tokens = (sums[c] or 0 for c in ("n_tokens", "train_docs", "train_tokens"))

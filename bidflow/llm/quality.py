@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import extended, flat, grouped, pieces, unused, word_hashes
+from bidflow.llm.common import bounded_batches, extended, flat, grouped, pieces, unused, word_hashes
 
 SHRINKAGE = 0.1
 FLOOR = 1e-4
@@ -64,6 +64,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the array ``x`` in place of ``text``."""
     rest = docs.drop("text", "x")
+    bounded_batches(docs.sparkSession)
     name = unused(rest, "text")
     rows = docs.select(*rest.columns, F.col("text").alias(name))
     schema = extended(rest.schema, x="array<double>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import extended, offsets_of, pieces, unused
+from bidflow.llm.common import bounded_batches, extended, offsets_of, pieces, unused
 
 CALL_BYTES = 1 << 18
 MEMO_PIECES = 500_000
@@ -62,6 +62,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, column: str = "t
     """
     own = ("n_bytes", "n_tokens", "over_limit")
     rest = docs.drop(column, *own)
+    bounded_batches(docs.sparkSession)
     name = unused(rest, "text")
     rows = docs.select(*rest.columns, F.col(column).alias(name))
     schema = extended(rest.schema, n_bytes="bigint", n_tokens="bigint", over_limit="boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import extended, flat, grouped, pieces, word_hashes
+from bidflow.llm.common import bounded_batches, extended, flat, grouped, pieces, word_hashes
 from bidflow.shared import staged
 
 PREFIXES = (4, 5, 6, 7)
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, width: int =
     sees the FEATURES best and which of them each of at most ``rows`` documents
     has. Without rows of both labels the chain calls nothing toxic.
     """
+    bounded_batches(docs.sparkSession)
     chosen = staged(sample(docs, labels, rows), "toxicity-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +217,7 @@ def scored(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
     text. Every row is kept; columns with the names of the results are replaced.
     """
     own = [f"p_{c}" for c in CATEGORIES] + ["toxic"]
+    bounded_batches(docs.sparkSession)
     rest = docs.drop(*own)
     schema = extended(rest.schema, **dict.fromkeys(own[:-1], "double"), toxic="boolean")
 
