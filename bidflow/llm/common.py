@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few MB for the Python tasks of this session, if it still has Spark's much larger default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, "8m")
 
 
