@@ -101,6 +101,72 @@ select doc_id, len(lines) as n_lines, n_dropped, sha256(coalesce(kept, '')) as k
 from d join s using (row_no)
 """
 
+# Levels: the share of a weight of one once the sources before (by size over weight) stop at their most.
+OP5_SQL = r"""
+with d as (
+  select row_number() over () as row_no, doc_id, source, md5('17|' || coalesce(cast(doc_id as varchar), '')) as draw,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
+  from documents
+),
+s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as n,
+    cast(case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight
+  from d group by source
+),
+level as (
+  select n, weight, 2 * source_size as most,
+    (1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over before, 0)) / sum(weight) over after as level
+  from s where source_size > 0
+  window before as (order by source_size / weight, n rows between unbounded preceding and 1 preceding),
+    after as (order by source_size / weight, n rows between current row and unbounded following)
+),
+goal as (
+  select n, least((select level from level where level * weight <= most order by most / weight, n limit 1) * weight, cast(most as double)) as target from level
+),
+placed as (
+  select d.*, s.n, s.source_size, coalesce(g.target, 0.0) as target,
+    cast('0x' || substr(draw, 1, 8) as bigint) % greatest(1, least(4096, cast(ceil(source_size / 1000000) as bigint))) as shard
+  from d join s on s.source is not distinct from d.source left join goal g on g.n = s.n
+),
+shards as (
+  select n, shard, cast(sum(size) as bigint) as words, cast(ceil(sum(size) / 64) as bigint) as blocks
+  from placed where size > 0 group by n, shard
+),
+caps as (select n, any_value(target) as target, 2 * sum(blocks) as cap from shards join goal using (n) group by n),
+bids as (select n, target / (2 * unnest(range(0, cast(cap as bigint))) + 1) as quotient from caps),
+seats as (
+  select n, count(*) as seats from (
+    select n, row_number() over (order by quotient desc, n) as place from bids
+  ) where place <= (select cast(round(sum(target) / 64) as bigint) from goal) group by n
+),
+shard_bids as (select n, shard, words / (2 * unnest(range(0, 2 * blocks)) + 1) as quotient from shards),
+quotas as (
+  select n, shard, count(*) as quota from (
+    select n, shard, row_number() over (partition by n order by quotient desc, shard) as place from shard_bids
+  ) join seats using (n) where place <= seats group by n, shard
+),
+blocks as (
+  select n, shard, block, coalesce(quota, 0) // blocks + case when row_number() over (
+      partition by n, shard order by md5('17|' || n || '|' || shard || '|' || block), block) <= coalesce(quota, 0) % blocks
+    then 1 else 0 end as times
+  from (select n, shard, blocks, unnest(range(0, blocks)) as block from shards) left join quotas using (n, shard)
+),
+line as (
+  select *, sum(size) over (partition by n, shard order by draw, doc_id, size rows unbounded preceding) as ends
+  from placed where size > 0
+),
+cut as (
+  select row_no, n, shard, ends, size, unnest(range(cast((ends - size) // 64 as bigint), cast((ends - 1) // 64 + 1 as bigint))) as block
+  from line
+),
+taken as (
+  select row_no, sum((least(ends, (block + 1) * 64) - greatest(ends - size, block * 64)) * times) as taken
+  from cut join blocks using (n, shard, block) group by row_no
+)
+select p.doc_id, p.source, p.size, p.source_size, p.target, cast(coalesce(t.taken, 0) as bigint) as taken
+from placed p left join taken t using (row_no)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_phrase_fingerprints": op2_phrase_fingerprints,
@@ -114,4 +180,4 @@ QUERIES: dict[str, Query] = {
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-TWINS: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+TWINS: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op8_line_dedup": OP8_SQL}
