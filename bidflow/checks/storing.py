@@ -216,6 +216,29 @@ def job_counters(d: Domain) -> DataFrame:
     return jobs.drop("id", "created_at", "created_part")
 
 
+RETAINED = f"{LANDED}, stored as (select * from {numbered('landed')})"
+CUTOFF = datetime(2024, 1, 1, 6)
+
+
+def _retained(d: Domain) -> Warehouse:
+    warehouse = _warehouse(d)
+    harvest(warehouse, d.sources, landed(d), _codes(d), "b1", NOW)
+    warehouse.retain("t1", CUTOFF, NOW)
+    return warehouse
+
+
+@query(f"""{RETAINED} select id, source_id, external_id, payload from stored where created_at >= timestamp '2024-01-01 06:00:00'""")
+def retained_items(d: Domain) -> DataFrame:
+    """Stored raw items after a published retention."""
+    return _retained(d).read("raw_items").select("id", "source_id", "external_id", "payload")
+
+
+@query(f"""{RETAINED} select id, case when created_at >= timestamp '2024-01-01 06:00:00' then id end as raw_item_id, external_id from stored""")
+def retained_bids(d: Domain) -> DataFrame:
+    """Stored bids after a published retention: all of them, some without their raw item."""
+    return _retained(d).read("bids").select("id", "raw_item_id", "external_id")
+
+
 DUE = STATE.replace("with ", "", 1).replace(SQL["sources"].strip(), "", 1).lstrip(" ,\n")
 
 
