@@ -348,6 +348,10 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int =
     they are few. Null, repeated and equal ids are scored row by row; other
     columns are left out; an empty table gives an empty one. Without training
     texts all words have probability 1, as the one unknown word.
+
+    A block and a shard exchange one row. Their numbers both grow with the input,
+    so for many TB raise ``block_bytes`` and ``shard_tokens`` with the memory of
+    the executors, or these rows get too small to pack well.
     """
     bounded_batches(docs.sparkSession)
     bodies = staged(blocks(docs.select("doc_id", "text", "held_out"), block_bytes), "lm-blocks")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bidflow.llm.common import table
 from bidflow.llm.stages import deduplicate_lines, drop_contaminated, drop_near_duplicates, drop_toxic, mix
-from bidflow.shared import staged
+from bidflow.shared import cleared, staged
 
 STAGES = [
     ("toxicity", drop_toxic),
@@ -24,5 +24,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written and read back for the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What a stage has staged goes once its result is written.
+        with cleared(spark) as scope:
+            docs = scope.keep(staged(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
