@@ -23,7 +23,11 @@ def _order_columns(order: Sequence[str | Column]) -> list[Column]:
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str | Column], name: str = "position", on_files: bool = False
+    df: DataFrame,
+    order: Sequence[str | Column],
+    name: str = "position",
+    on_files: bool = False,
+    place: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based position of each row in the given order (nulls first).
 
@@ -31,15 +35,18 @@ def with_position(
     large group of equal rows is still spread over range partitions and the
     numbering is replayable. ``on_files=True`` says that ``df`` is a plain file
     scan already; any other input is written out first, which also spares the
-    second run of its plan that range sampling would cost.
+    second run of its plan that range sampling would cost. ``place`` names
+    columns that tell all rows apart; then nothing is written first.
     """
-    rows = df if on_files else staged(df, "unnumbered")
-    rows = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.row_index").alias(_ROW),
-    )
-    keys = [*_order_columns(order), F.col(_FILE), F.col(_ROW)]
+    if place:
+        rows, keys = df, _order_columns([*order, *place])
+    else:
+        rows = (df if on_files else staged(df, "unnumbered")).select(
+            "*",
+            F.col("_metadata.file_path").alias(_FILE),
+            F.col("_metadata.row_index").alias(_ROW),
+        )
+        keys = [*_order_columns(order), F.col(_FILE), F.col(_ROW)]
     # The id is (partition << 33) + row in partition, taken after the sort.
     # Range bounds are sampled, so the result is written before anyone reads it.
     slotted = staged(
@@ -71,12 +78,13 @@ def with_dense_ids(
     after: int = 0,
     name: str = "id",
     on_files: bool = False,
+    place: Sequence[str] = (),
 ) -> DataFrame:
     """Number the rows ``after + 1, after + 2, ...`` in the given order.
 
     One writer per table is assumed: two writers starting from the same
     ``after`` would hand out the same ids.
     """
-    numbered = with_position(df.drop(name) if name in df.columns else df, order, "__pos", on_files)
+    numbered = with_position(df.drop(name) if name in df.columns else df, order, "__pos", on_files, place)
     cols = [c for c in numbered.columns if c != "__pos"]
     return numbered.select((F.col("__pos") + F.lit(after + 1)).alias(name), *cols)

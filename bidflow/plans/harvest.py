@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidflow.functions.keys import content_hash, item_key
@@ -41,9 +41,11 @@ def log_jobs(warehouse: Warehouse, batch_id: str, now: datetime) -> None:
 
 
 def stage_jobs(warehouse: Warehouse, batch_id: str, counters: DataFrame, now: datetime) -> None:
-    """Write job rows of a batch, numbered after those stored."""
-    last = warehouse.manifest().agg(F.max("max_job_id")).first()[0] or 0
-    numbered = with_dense_ids(counters, ["source_id"], after=last).withColumn("created_at", F.lit(now).cast("timestamp"))
+    """Write job rows of a batch, numbered after those stored (the window sees one row per source)."""
+    last = max((r["max_job_id"] or 0 for r in warehouse.batches().values()), default=0)
+    numbered = counters.withColumns(
+        {"id": F.row_number().over(Window.orderBy("source_id")) + F.lit(last), "created_at": F.lit(now).cast("timestamp")}
+    )
     warehouse.stage("jobs", batch_id, numbered.select(*[F.col(f.name).cast(f.dataType) for f in JOBS]))
 
 
@@ -85,7 +87,7 @@ def stage_batch(
     thin = rows.select(*INSERT_ORDER, "key", "_file", "_row")
     if mode == "idempotent":
         thin = thin.join(warehouse.read("raw_keys").select("key"), "key", "left_anti")
-    ids = with_dense_ids(thin.drop("key"), [*INSERT_ORDER, "_file", "_row"], after=last_raw).select("id", "_file", "_row")
+    ids = with_dense_ids(thin.drop("key"), INSERT_ORDER, after=last_raw, place=["_file", "_row"]).select("id", "_file", "_row")
     if ids.isEmpty():
         return False
     numbered = rows.join(ids, ["_file", "_row"])

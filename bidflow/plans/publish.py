@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -105,12 +106,12 @@ class Warehouse:
         return {r["batch_id"]: r for r in self.manifest().collect()}
 
     def is_committed(self, batch_id: str) -> bool:
-        return not self.manifest().where(F.col("batch_id") == batch_id).isEmpty()
+        return batch_id in self.batches()
 
     def last_ids(self) -> tuple[int, int]:
         """Highest raw and bid id of all committed batches, from the manifest alone."""
-        row = self.manifest().agg(F.max("max_raw_id"), F.max("max_bid_id")).first()
-        return row[0] or 0, row[1] or 0
+        rows = self.batches().values()
+        return max((r["max_raw_id"] or 0 for r in rows), default=0), max((r["max_bid_id"] or 0 for r in rows), default=0)
 
     def begin(self, batch_id: str) -> tuple[int, int]:
         """The ids a new batch starts after; its commit fails if another batch takes them first."""
@@ -154,14 +155,11 @@ class Warehouse:
         """
         if batch_id in self._begun and self._begun.pop(batch_id) != self.last_ids():
             raise RuntimeError(f"another batch was committed while {batch_id!r} was written; run it again")
-        row = None
-        for table, short in COUNTED.items():
-            counts = self.staged(table, batch_id).agg(
-                F.lit(batch_id).alias("batch_id"),
-                F.count("*").alias(f"{short}_count"),
-                F.max("id").alias(f"max_{short}_id"),
-            )
-            row = counts if row is None else row.join(counts, "batch_id")
+        ids = [self.staged(table, batch_id).select(F.lit(short).alias("t"), "id") for table, short in COUNTED.items()]
+        row = reduce(DataFrame.unionAll, ids).agg(
+            *[F.count_if(F.col("t") == short).alias(f"{short}_count") for short in COUNTED.values()],
+            *[F.max(F.when(F.col("t") == short, F.col("id"))).alias(f"max_{short}_id") for short in COUNTED.values()],
+        )
         names = {"replaces": replaces, "replaces_raw": replaces_raw}
         lists = {k: F.array(*[F.lit(b) for b in v]).cast("array<string>") for k, v in names.items()}
         row = row.withColumns({"committed_at": F.lit(now).cast("timestamp"), **lists})
