@@ -54,18 +54,22 @@ def page_links(d: Domain) -> DataFrame:
 # --- normalizers: typed values are written out the way people do, then read back ---
 
 
-@query("""select o_orderkey, strftime(case when o_orderkey % 5 = 4 then o_orderdate + interval 3 hour + interval 7 minute
-  else o_orderdate end, '%Y-%m-%d %H:%M:%S.%f') as read_at from orders""")
+@query("""select o_orderkey, strftime(o_orderdate + case o_orderkey % 8 when 4 then interval '3 hours 7 minutes'
+  when 5 then interval '4 hours 45 minutes' when 6 then interval 3 hour when 7 then interval 5 hour - interval 3 day
+  else interval 0 hour end, '%Y-%m-%d %H:%M:%S.%f') as read_at from orders""")
 def dates(d: Domain) -> DataFrame:
-    when = F.col("o_orderdate").cast("timestamp")
+    when, n = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 8
     written = (
-        F.when(F.col("o_orderkey") % 5 == 0, F.date_format(when, "dd.MM.yyyy"))
-        .when(F.col("o_orderkey") % 5 == 1, F.date_format(when, "yyyy-MM-dd"))
-        .when(F.col("o_orderkey") % 5 == 2, F.date_format(when, " yyyy-MM-dd'T'HH:mm:ss "))
-        .when(F.col("o_orderkey") % 5 == 3, F.lit("Сегодня"))
+        F.when(n == 0, F.date_format(when, "dd.MM.yyyy"))
+        .when(n == 1, F.date_format(when, "yyyy-MM-dd"))
+        .when(n == 2, F.date_format(when, " yyyy-MM-dd'T'HH:mm:ss "))
+        .when(n == 3, F.lit("Сегодня"))
+        .when(n == 5, F.lit("15 минут назад"))
+        .when(n == 6, F.lit("2 часа  назад"))
+        .when(n == 7, F.lit("3 Days ago"))
         .otherwise(F.concat(F.lit("вчера, в "), F.date_format(when + F.expr("interval '3:07' hour to minute"), "HH:mm")))
     )
-    received = when + F.when(F.col("o_orderkey") % 5 == 4, F.expr("interval '1 5' day to hour")).otherwise(F.expr("interval '0 5' day to hour"))
+    received = when + F.when(n == 4, F.expr("interval '1 5' day to hour")).otherwise(F.expr("interval '0 5' day to hour"))
     texts = d.given("orders").select("o_orderkey", values.clean(written).alias("text"), received.alias("received"))
     return texts.select("o_orderkey", values.moment(F.col("text"), F.col("received")).alias("read_at"))
 
