@@ -9,6 +9,7 @@ batch are one matrix product.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ BINS = 1 << 14
 GRAMS = (2, 3, 4)
 LANDMARKS = 128
 TRAIN_ROWS = 4000
+MAX_LANGUAGES = 10_000
+SCALE = 1 << 40
 RIDGE = 1e-2
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -93,10 +96,16 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     labelled = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("hash")).where(
         F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    n_languages = labelled.select("lang").distinct().count()
-    each = max(2, rows // max(n_languages, 1))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    chosen = labelled.select("lang", "hash").withColumn("place", place).where(F.col("place") <= each).drop("place")
+    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    each = max(2, rows // max(len(counts), 1))
+    # Hashes are even: of a frequent language, those below this bound are some three times as many as wanted.
+    bounds = {r["lang"]: min(SCALE, 3 * each * SCALE // r["count"] + SCALE // r["count"]) for r in counts}
+    bound = F.element_at(F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>"), F.col("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "hash"))
+    chosen = labelled.select("lang", "hash", F.pmod("hash", F.lit(SCALE)).alias("draw")).where(F.col("draw") <= bound)
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= each).select("lang", "hash")
     # Equal rows share a hash and come in once.
     found = labelled.join(F.broadcast(chosen), ["lang", "hash"], "left_semi")
     return found.dropDuplicates(["lang", "hash"]).select("text", "lang")
