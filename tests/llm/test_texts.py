@@ -581,6 +581,38 @@ def test_classes_equal_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_pairs_with_a_passage_of_thousands_of_texts(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(20000)])
+    passage = rng.choice(vocabulary, 60).tolist()
+    pairs, texts = [], []
+    for _ in range(40):
+        own = rng.choice(vocabulary, 40).tolist()
+        other = own[:]
+        for at in rng.choice(40, 18, replace=False):
+            other[at] = str(rng.choice(vocabulary))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    texts += [" ".join(passage + rng.choice(vocabulary, 40).tolist()) for _ in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    least = {b: a for a, b in pairs}
+    assert got == {i: least.get(i, i) for i in range(len(texts))}
+
+
+def test_rarest_words_are_shared_by_alike_texts():
+    rng = np.random.default_rng(12)
+    levels = rng.integers(0, 9, near_dedup.BINS).astype(np.uint8)
+    for _ in range(400):
+        a = rng.integers(0, 60, int(rng.integers(1, 150))).astype(np.uint32)
+        keep = rng.random(len(a)) > rng.choice([0.05, 0.1, 0.2])
+        b = np.where(keep, a, rng.integers(0, 60, len(a))).astype(np.uint32)[int(rng.integers(0, 3)):]
+        if not len(b) or near_dedup.aligned(a, b) < 0.8:
+            continue
+        (x, s), (y, t) = (near_dedup.rarest(w, levels, 0.8) for w in (a, b))
+        assert len(set(x.tolist()) & set(y.tolist())) >= min(s, t)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd)
     rows = got.collect()
