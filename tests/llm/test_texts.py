@@ -613,6 +613,26 @@ def test_rarest_words_are_shared_by_alike_texts():
         assert len(set(x.tolist()) & set(y.tolist())) >= min(s, t)
 
 
+def test_short_texts_equal_all_pairs(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for n in range(5, 27):
+        for _ in range(6):
+            base = [f"w{i}" for i in rng.integers(0, 3000, n)]
+            other = base[:]
+            at = int(rng.integers(n))
+            other[at : at + 1] = [[f"w{int(rng.integers(3000))}"], []][int(rng.integers(2))]
+            texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    split = [t.split() for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if set(split[i]) & set(split[j]) and brute_aligned(split[i], split[j]) >= 0.8]
+    assert len(alike) > 100
+    # Bases are unlike each other: a class is a pair.
+    least = {j: i for i, j in alike}
+    assert len(least) == len(alike) and got == {i: least.get(i, i) for i in range(len(texts))}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd)
     rows = got.collect()
