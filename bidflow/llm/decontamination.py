@@ -4,7 +4,9 @@ By the q-gram lemma, a passage of L characters found with at most e edits shares
 at least L - q + 1 - q e of its q-grams with the text, on diagonals that differ
 by at most e. Shared q-grams are counted in overlapping bands of diagonals of
 each passage; bands that meet the bound are verified by a banded alignment.
-Long items are cut into overlapping passages, so a part of one is found too.
+Long items are cut into overlapping passages, at most twice the edit budget
+apart, so that a verbatim part of PASSAGE bytes is within the budget of one
+wherever it starts.
 """
 
 from __future__ import annotations
@@ -63,11 +65,15 @@ class Index:
     shift: np.uint64
 
 
-def passages_of(text: bytes) -> list[tuple[int, bytes]]:
-    """(offset, passage): the whole of a short item, overlapping passages of a long one."""
+def passages_of(text: bytes, edits: float = EDITS) -> list[tuple[int, bytes]]:
+    """(offset, passage): the whole of a short item, overlapping passages of a long one.
+
+    An excerpt of PASSAGE bytes is at most half a stride off some passage and lacks that many of its bytes.
+    """
     if len(text) <= PASSAGE:
         return [(0, text)]
-    starts = [*range(0, len(text) - PASSAGE, PASSAGE // 2), len(text) - PASSAGE]
+    stride = max(1, 2 * min(int(edits * PASSAGE), (PASSAGE - Q) // Q))
+    starts = [*range(0, len(text) - PASSAGE, stride), len(text) - PASSAGE]
     return [(s, text[s : s + PASSAGE]) for s in dict.fromkeys(starts)]
 
 
@@ -76,7 +82,7 @@ def index_of(items: list[tuple[int, str]], edits: float = EDITS) -> Index:
     ids, offsets, texts = [], [], []
     for item_id, text in items:
         raw = plain(*flat(pa.array([text])))[0].tobytes().strip()
-        for offset, passage in passages_of(raw):
+        for offset, passage in passages_of(raw, edits):
             if len(passage) >= Q:
                 ids.append(item_id)
                 offsets.append(offset)

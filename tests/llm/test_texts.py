@@ -393,6 +393,17 @@ def test_edited_passages_are_found_within_the_budget():
         assert all(got[k] >= least[k] for k in got)
 
 
+def test_excerpts_are_found_wherever_they_start():
+    rng = np.random.default_rng(15)
+    letters = np.array(list("etaoin shrdlu"))
+    item = "".join(rng.choice(letters, 420)).replace("  ", " e").strip()
+    index = decontamination.index_of([(1, item)])
+    # What is around an excerpt shares no byte with the item.
+    docs = [f"{'Z' * 200}{item[at : at + 120]}{'Z' * 200}" for at in range(len(item) - 119)]
+    found = decontamination.found_in(pa.array(docs), index)
+    assert [at for at, leaks in enumerate(found) if [x["item_id"] for x in leaks] != [1]] == []
+
+
 def test_leaks_of_odd_rows_and_of_many_blocks(spark, odd, none):
     item = "A passage of the benchmark that is long enough to be told from chance"
     bench = spark.createDataFrame(
