@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from bidflow.checks import config
 from bidflow.checks.domain import LINE_ORDER, SQL, Domain, with_tables
 from bidflow.checks.reading import SOURCE_COLS
-from bidflow.checks.refining import CLASS, REASONS, TRANSPORT, WORDS, _near_sql, configs, feed, near_duplicates, places
+from bidflow.checks.refining import ANY_CARGO, CLASS, REASONS, TRANSPORT, WORDS, _near_sql, configs, feed, near_duplicates, places
 from bidflow.checks.registry import dbl, query, ts
 from bidflow.checks.reporting import STATE, schedules
 from bidflow.functions.keys import item_key
@@ -23,7 +24,7 @@ from bidflow.plans.harvest import harvest, stage_batch, unseen
 from bidflow.plans.health import harvest_due
 from bidflow.plans.publish import Warehouse
 from bidflow.plans.refine import reprocess
-from bidflow.schemas import RAW_ITEMS
+from bidflow.schemas import RAW_ITEMS, TABLES
 from bidflow.shared import new_path
 from bidflow.sources import providers
 from bidflow.streaming import streams
@@ -239,6 +240,45 @@ def retained_bids(d: Domain) -> DataFrame:
     return _retained(d).read("bids").select("id", "raw_item_id", "external_id")
 
 
+@query(f"""{RETAINED} select id, case when created_at >= timestamp '2024-01-01 06:00:00' then id end as raw_item_id, source_id,
+  external_id, case when created_at >= timestamp '2024-01-01 06:00:00' then 'text' end as cargo_type from stored""")
+def reprocessed_after_retention(d: Domain) -> DataFrame:
+    """A harvest, a retention, a reprocessing, and the harvest again: bids without raw item stay, dropped items stay away."""
+    warehouse = _warehouse(d)
+    harvest(warehouse, d.sources, landed(d), _codes(d), "b1", NOW, "idempotent")
+    warehouse.retain("t1", CUTOFF, NOW)
+    any_config = {
+        "config_classifier": config.config(d.spark, ANY_CARGO),
+        "config_filter_rule": config.config(d.spark, {}),
+        "config_dedup": config.dedup_rules(d.spark),
+    }
+    reprocess(warehouse, ["b1"], "b1-r1", d.sources, places(d), any_config, NOW)
+    harvest(warehouse, d.sources, landed(d), _codes(d), "b2", NOW, "idempotent")
+    return warehouse.read("bids").select("id", "raw_item_id", "source_id", "external_id", "cargo_type")
+
+
+STORED = ("raw_items", "bids", "jobs", "errors")
+
+
+@query(f"""{with_tables(*STORED)}
+  select 'raw_items' as stored, id, source_id as refers_to from raw_items where id % 5 <> 0
+  union all select 'bids', id, case when raw_item_id % 5 <> 0 or raw_item_id not in (select id from raw_items) then raw_item_id end from bids
+  union all select 'jobs', id, source_id from jobs where id % 3 <> 0
+  union all select 'errors', id, case when job_id % 3 <> 0 or job_id not in (select id from jobs) then job_id end from errors""")
+def deletes_of_stored_rows(d: Domain) -> DataFrame:
+    """All four stored tables after deletes of raw items and of jobs: what refers to a row that was there loses the reference."""
+    warehouse = _warehouse(d)
+    tables = {t: getattr(d, t) for t in STORED}
+    for name, rows in tables.items():
+        warehouse.stage(name, "b1", rows.select(*TABLES[name].fieldNames()))
+    warehouse.commit("b1", NOW)
+    warehouse.delete("d1", "raw_items", tables["raw_items"].where("id % 5 = 0"), NOW)
+    warehouse.delete("d2", "jobs", tables["jobs"].where("id % 3 = 0"), NOW)
+    refers = {"raw_items": "source_id", "bids": "raw_item_id", "jobs": "source_id", "errors": "job_id"}
+    parts = [warehouse.read(t).select(F.lit(t).alias("stored"), "id", F.col(c).alias("refers_to")) for t, c in refers.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 DUE = STATE.replace("with ", "", 1).replace(SQL["sources"].strip(), "", 1).lstrip(" ,\n")
 
 

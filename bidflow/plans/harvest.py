@@ -42,7 +42,7 @@ def log_jobs(warehouse: Warehouse, batch_id: str, now: datetime) -> None:
 
 def stage_jobs(warehouse: Warehouse, batch_id: str, counters: DataFrame, now: datetime) -> None:
     """Write job rows of a batch, numbered after those stored (the window sees one row per source)."""
-    last = max((r["max_job_id"] or 0 for r in warehouse.batches().values()), default=0)
+    last = warehouse.last_id("jobs")
     numbered = counters.withColumns(
         {"id": F.row_number().over(Window.orderBy("source_id")) + F.lit(last), "created_at": F.lit(now).cast("timestamp")}
     )
@@ -114,9 +114,12 @@ def harvest(
     if warehouse.is_committed(batch_id):
         require_codes(codes, sources)
         return False
-    with cleared(warehouse.spark):
+
+    def work() -> bool:
         if not stage_batch(warehouse, sources, provided, codes, batch_id, now, mode):
             return False
         log_jobs(warehouse, batch_id, now)
-        warehouse.commit(batch_id, now)
-    return True
+        return True
+
+    with cleared(warehouse.spark):
+        return warehouse.attempt(batch_id, work, now)

@@ -1,5 +1,6 @@
 """Mappings, ids, publishing, harvest, upsert."""
 
+import itertools
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -335,3 +336,188 @@ def test_every_declared_table_is_readable(spark, tmp_path):
     for name, schema in schemas.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
         assert read_table(spark, str(tmp_path / name), name).columns == schema.fieldNames()
+
+
+# --- deletes, tombstones, writers against each other ---
+
+ANY = {"c": {"target": "cargo_type", "value": "x", "priority": 1, "keywords": [], "regex": "."}}
+
+
+def no_places(spark):
+    return spark.createDataFrame([], "alias string, place string, region string")
+
+
+def old_and_new(spark, warehouse):
+    """Four raw items with bids, the first two from long before."""
+    src = R.sources(spark, [(1, "A", "A", True)])
+    items = R.provided(spark, [("A", 0, f"e{i}", f"p{i}") for i in range(4)])
+    late = F.col("external_id").isin("e2", "e3")
+    items = items.withColumn("created_at", F.when(late, F.col("created_at") + F.expr("interval 30 days")).otherwise(F.col("created_at")))
+    assert harvest(warehouse, src, items, R.codes(spark, "A"), "b1", NOW, "idempotent")
+    return src, items
+
+
+def test_reprocessing_after_retention_keeps_bids_without_raw_item(spark, warehouse):
+    src, items = old_and_new(spark, warehouse)
+    assert warehouse.retain("t1", R.T0 + timedelta(days=10), NOW)
+    assert reprocess(warehouse, ["b1"], "r1", src, no_places(spark), configuration(spark, config_classifier=ANY), NOW)
+    found = {r.id: (r.raw_item_id, r.cargo_type) for r in warehouse.read("bids").collect()}
+    assert found == {1: (None, None), 2: (None, None), 3: (3, "x"), 4: (4, "x")}
+    # Dropped items stay dropped.
+    assert harvest(warehouse, src, items, R.codes(spark, "A"), "b2", NOW, "idempotent") is False
+    assert harvest(warehouse, src, items, R.codes(spark, "A"), "b3", NOW, "append")
+    assert warehouse.read("raw_items").count() == 6
+    assert reprocess(warehouse, ["r1"], "r2", src, no_places(spark), configuration(spark, config_classifier=ANY), NOW)
+    assert sorted(r.id for r in warehouse.read("bids").collect()) == list(range(1, 9))
+
+
+def test_deletes_write_no_row_anew_and_are_joined_to_their_batches_only(spark, warehouse):
+    old_and_new(spark, warehouse)
+    raw_of(spark, warehouse, "b2", 3, first=10, days=30)
+    assert warehouse.retain("t1", R.T0 + timedelta(days=10), NOW)
+    row = warehouse.batches()["t1"]
+    assert row["raw_count"] == row["bid_count"] == 0 and [d["n"] for d in row["deletes"]] == [2]
+    assert [(r["table"], r["column"], r["batch_id"]) for r in row["releases"]] == [("bids", "raw_item_id", "b1")]
+    untouched = warehouse.read("raw_items", batches=["b2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in untouched and "Join" in warehouse.read("raw_items")._jdf.queryExecution().executedPlan().toString()
+    # A batch without rows left is not read at all.
+    assert warehouse.delete("t2", "raw_items", warehouse.read("raw_items", batches=["b1"]).select("id"), NOW)
+    assert warehouse.visible("raw_items") == ["b2"] and warehouse.read("raw_items").count() == 3
+    assert {r.raw_item_id for r in warehouse.read("bids").collect()} == {None, 5, 6, 7}
+    assert warehouse.delete("t2", "raw_items", spark.range(9), NOW) is False
+    assert warehouse.delete("t3", "raw_items", spark.range(100, 109), NOW) is False
+
+
+def stored_tables(spark, warehouse):
+    """Sources 1 and 2, each with raw items, jobs and errors; bids of source 1 only."""
+    src = R.sources(spark, [(1, "A", "A", True), (2, "B", "B", True)])
+    warehouse.replace("sources", src)
+    raw_of(spark, warehouse, "b1", 2)
+    raw = R.raw_items(spark, [(11, 2, "x", "p"), (12, 2, "y", "p")])
+    jobs = [(21, 2, "harvest", "done", NOW, NOW, 2, 2, 0, None, NOW), (22, 1, "harvest", "done", NOW, NOW, 2, 2, 0, None, NOW)]
+    errors = [(31, 2, 21, NOW, "error", "m", None, NOW), (32, 1, 22, NOW, "error", "m", None, NOW), (33, None, 21, NOW, "error", "m", None, NOW)]
+    warehouse.stage("raw_items", "b2", raw)
+    warehouse.stage("jobs", "b2", spark.createDataFrame([j[: len(schemas.JOBS)] for j in jobs], schemas.JOBS))
+    warehouse.stage("errors", "b2", spark.createDataFrame([e[: len(schemas.ERRORS)] for e in errors], schemas.ERRORS))
+    warehouse.commit("b2", NOW)
+    return src
+
+
+def orphans(warehouse):
+    from bidflow.operators.integrity import foreign_key_orphans
+
+    tables = {t: warehouse.read(t) for t in ("raw_items", "bids", "jobs", "errors")}
+    return foreign_key_orphans({**tables, "sources": warehouse.current("sources")}).count()
+
+
+def test_a_delete_reaches_every_child_in_one_commit(spark, warehouse):
+    src = stored_tables(spark, warehouse)
+    before = warehouse.commits.last()
+    with pytest.raises(ValueError, match="bids"):
+        warehouse.delete_sources("d0", src.select("id"), NOW)
+    assert warehouse.commits.last() == before and warehouse.current("sources").count() == 2
+    assert warehouse.delete_sources("d1", src.where("id = 2"), NOW)
+    assert warehouse.commits.last() == before + 1 and orphans(warehouse) == 0
+    assert sorted(r.id for r in warehouse.read("raw_items").collect()) == [1, 2]
+    assert {r.id: r.source_id for r in warehouse.read("jobs").collect() if r.id > 20} == {21: None, 22: 1}
+    assert {r.id: (r.source_id, r.job_id) for r in warehouse.read("errors").collect()} == {31: (None, 21), 32: (1, 22), 33: (None, 21)}
+    assert warehouse.delete("d2", "jobs", spark.createDataFrame([(21,)], "id bigint"), NOW)
+    assert {r.id: r.job_id for r in warehouse.read("errors").collect()} == {31: None, 32: 22, 33: None} and orphans(warehouse) == 0
+    assert warehouse.delete("d3", "raw_items", spark.createDataFrame([(1,)], "id bigint"), NOW)
+    assert {r.id: r.raw_item_id for r in warehouse.read("bids").collect()} == {1: None, 2: 2} and orphans(warehouse) == 0
+
+
+def writers(spark, warehouse, src, n):
+    """Four kinds of work on a warehouse, each under a batch id of its own."""
+    items = R.provided(spark, [("A", 0, f"w{n}-{i}", "p") for i in range(2)])
+    return {
+        "harvest": lambda w: harvest(w, src, items, R.codes(spark, "A"), f"harvest{n}", NOW),
+        "reprocess": lambda w: reprocess(w, ["b1"], f"reprocess{n}", src, no_places(spark), configuration(spark, config_classifier=ANY), NOW),
+        "retain": lambda w: w.retain(f"retain{n}", R.T0 + timedelta(days=10), NOW),
+        "delete": lambda w: w.delete_sources(f"delete{n}", w.current("sources").where("id = 2"), NOW),
+    }
+
+
+KINDS = ["harvest", "reprocess", "retain", "delete"]
+
+
+@pytest.mark.parametrize(("first", "second"), itertools.combinations_with_replacement(KINDS, 2))
+def test_writers_that_meet(spark, tmp_path, monkeypatch, first, second):
+    """The second writer does all its work between the work and the commit of the first."""
+    warehouse, other = (Warehouse(spark, str(tmp_path / "wh")) for _ in range(2))
+    src, _ = old_and_new(spark, warehouse)
+    warehouse.replace("sources", R.sources(spark, [(1, "A", "A", True), (2, "B", "B", True)]))
+    commit, met = Warehouse.commit, []
+
+    def late(self, *args):
+        if self is warehouse and not met:
+            met.append(writers(spark, other, src, 2)[second](other))
+        return commit(self, *args)
+
+    monkeypatch.setattr(Warehouse, "commit", late)
+    done = writers(spark, warehouse, src, 1)[first](warehouse)
+    # What the second one has done already leaves nothing to do for a first one of the same kind.
+    assert met == [True] and done == (first != second or first in ("harvest", "reprocess"))
+    for table in ("raw_items", "bids", "jobs"):
+        ids = [r.id for r in warehouse.read(table).collect()]
+        assert len(ids) == len(set(ids)), table
+    done_kinds = {first, second}
+    assert warehouse.read("raw_items").count() == 4 + 2 * [first, second].count("harvest") * 1 - 2 * ("retain" in done_kinds)
+    assert warehouse.read("bids").count() == 4 + 2 * [first, second].count("harvest")
+    assert warehouse.current("sources").count() == 2 - ("delete" in done_kinds)
+    assert other.read("bids").count() == warehouse.read("bids").count()
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_a_writer_that_stops_before_its_commit_leaves_nothing(spark, tmp_path, monkeypatch, kind):
+    warehouse = Warehouse(spark, str(tmp_path / "wh"))
+    src, _ = old_and_new(spark, warehouse)
+    warehouse.replace("sources", R.sources(spark, [(1, "A", "A", True), (2, "B", "B", True)]))
+    tables = ("raw_items", "bids", "jobs")
+
+    def state():
+        return {t: sorted(map(tuple, Warehouse(spark, warehouse.root).read(t).collect())) for t in tables}
+
+    before, claim = state(), type(warehouse.commits)._claim
+    monkeypatch.setattr(type(warehouse.commits), "_claim", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        writers(spark, warehouse, src, 1)[kind](warehouse)
+    assert state() == before and warehouse.current("sources").count() == 2
+    monkeypatch.setattr(type(warehouse.commits), "_claim", claim)
+    assert writers(spark, warehouse, src, 1)[kind](warehouse)
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    from bidflow.plans.commits import Commits, Conflict
+
+    one, two = (Commits(spark, str(tmp_path), log_files=2) for _ in range(2))
+    assert one.add(0, {"batch_id": "a"}) == 1
+    with pytest.raises(Conflict, match="'b'"):
+        two.add(0, {"batch_id": "b"})
+    assert two.add(two.last(), {"batch_id": "b", "committed_at": NOW}) == 2
+    for i in range(3):
+        one.add(one.last(), {"batch_id": f"c{i}"})
+    fresh = Commits(spark, str(tmp_path))
+    assert [r["batch_id"] for r in fresh.rows()] == [r["batch_id"] for r in one.rows()] == ["a", "b", "c0", "c1", "c2"]
+    assert sorted(r.number for r in fresh.frame().collect()) == [1, 2, 3, 4, 5]
+    assert fresh.rows()[1]["committed_at"] == NOW
+    # Numbers below a snapshot are taken too.
+    with pytest.raises(Conflict):
+        fresh.add(1, {"batch_id": "late"})
+
+
+def test_changes_of_a_small_table_meet(spark, tmp_path):
+    one, two = (Warehouse(spark, str(tmp_path / "wh")) for _ in range(2))
+    one.replace("sources", R.sources(spark, [(1, "A", "A", True)]))
+    done = []
+
+    def add(warehouse, i):
+        def make(rows):
+            if warehouse is one and not done:
+                done.append(add(two, 3))
+            return rows.unionByName(R.sources(spark, [(i, f"s{i}", "S", True)]))
+
+        return warehouse.change("sources", make)
+
+    add(one, 2)
+    assert sorted(r.id for r in two.current("sources").collect()) == [1, 2, 3]
