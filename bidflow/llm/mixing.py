@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The words of a source, documents in seeded order, are cut into blocks of equal
-length. Blocks go to sources by highest quotients weight / 1, / 3, / 5 ..., then
-the same way to the shards of a source. A shard takes all its blocks as often
-as its quota holds them, and the rest by a seeded order of blocks.
+length: 64 words, and a power of two of at most a 64th of the source where that is
+less, so that a block is never a large part of a target. Blocks go to the sources
+of their length by highest quotients weight / 1, / 3, / 5 ..., then the same way
+to the shards of a source. A shard takes all its blocks as often as its quota
+holds them, and the rest by a seeded order of blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from bidflow.shared import staged
 
 BLOCK_WORDS = 64
+# A source has so many blocks at least, if it has as many words.
+MIN_BLOCKS = 64
 SHARD_WORDS = 1_000_000
-MAX_SHARDS = 4096
 MAX_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -76,6 +79,11 @@ def apportion(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list
     return out.tolist()
 
 
+def block_length(size: int, most: int = BLOCK_WORDS) -> int:
+    """Words of a block of a source: the largest power of two that gives ``MIN_BLOCKS`` blocks, ``most`` at most."""
+    return min(most, 1 << (max(1, size // MIN_BLOCKS).bit_length() - 1))
+
+
 def drawn(*parts) -> Column:
     """A seeded hash as 32 hex digits, the same in any SQL engine."""
     return F.md5(F.concat_ws("|", F.lit(str(SEED)), *[p.cast("string") for p in parts]).cast("binary"))
@@ -97,9 +105,9 @@ def mixed(
 
     ``size`` is the number of words, ``taken`` how many of them the mix holds,
     repeats counted. Sources take ``weights`` in the order of their code points,
-    null last. A null or empty text has no words and gives none; null ids and
-    repeated rows are rows like any other (between equal rows it is left open
-    which one gives the larger part). An empty table gives an empty one. At most
+    null last. A null or empty text has no words and gives none; null ids (drawn
+    by their text) and repeated rows are rows like any other (between equal rows
+    it is left open which one gives the larger part). An empty table gives an empty one. At most
     MAX_SOURCES sources are accepted, since their totals are held by the driver;
     documents and blocks never are.
     """
@@ -111,7 +119,7 @@ def mixed(
             F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
             "source",
             words.alias("size"),
-            drawn(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"),
+            drawn(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("draw"),
         ),
         "sizes",
     )
@@ -122,13 +130,14 @@ def mixed(
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in per_source]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-    # A source has a shard for each shard_words words, MAX_SHARDS at most.
+    lengths = [block_length(n, block_words) for n in sizes]
+    # A source has a shard for each shard_words words.
     known = spark.createDataFrame(
         [
-            (r["source"], i, size, goal[i], min(MAX_SHARDS, max(1, -(-size // shard_words))))
+            (r["source"], i, size, goal[i], max(1, -(-size // shard_words)), lengths[i])
             for i, (r, size) in enumerate(zip(per_source, sizes, strict=True))
         ],
-        "known string, n int, source_size bigint, target double, n_shards bigint",
+        "known string, n int, source_size bigint, target double, n_shards bigint, length bigint",
     )
     placed = (
         rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["known"]))
@@ -137,24 +146,25 @@ def mixed(
     )
     worded = placed.where("size > 0")
     shards = staged(
-        worded.groupBy("n", "shard")
+        worded.groupBy("n", "shard", "length")
         .agg(F.sum("size").alias("words"))
-        .withColumn("blocks", F.ceil(F.col("words") / block_words).cast("bigint")),
+        .withColumn("blocks", F.ceil(F.col("words") / F.col("length")).cast("bigint")),
         "shards",
     )
     blocks = {r["n"]: r["blocks"] for r in shards.groupBy("n").agg(F.sum("blocks").alias("blocks")).collect()}
-    order = sorted(blocks)
-    seats = apportion(
-        [goal[i] for i in order], round(sum(goal) / block_words), [int(most * blocks[i]) for i in order]
-    )
-    seats_of = dict(zip(order, seats, strict=True))
+    seats_of = {}
+    for length in set(lengths):
+        order = [i for i in sorted(blocks) if lengths[i] == length]
+        goals = [goal[i] for i in order]
+        seats = apportion(goals, round(sum(goals) / length), [int(most * blocks[i]) for i in order])
+        seats_of.update(zip(order, seats, strict=True))
 
     def quotas(of: pd.DataFrame) -> pd.DataFrame:
         of = of.sort_values("shard")
         mine = apportion(of["words"].tolist(), seats_of[int(of["n"].iloc[0])], (most * of["blocks"]).astype("int64").tolist())
         return of.assign(quota=mine)
 
-    quota = shards.groupBy("n").applyInPandas(quotas, "n int, shard bigint, words bigint, blocks bigint, quota bigint")
+    quota = shards.groupBy("n").applyInPandas(quotas, "n int, shard bigint, length bigint, words bigint, blocks bigint, quota bigint")
     quota = staged(quota, "quotas")
     extra = (
         quota.where("quota % blocks > 0")
@@ -165,11 +175,11 @@ def mixed(
     )
     line = Window.partitionBy("n", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     spread = worded.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
-    low, high = F.col("block") * block_words, (F.col("block") + 1) * block_words
+    low, high = F.col("block") * F.col("length"), (F.col("block") + 1) * F.col("length")
     cut = spread.withColumn(
         "block",
         F.explode(
-            F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))
+            F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("end") - 1) / F.col("length")))
         ),
     ).withColumn("overlap", F.least("end", high) - F.greatest("start", low))
     out = ["doc_id", "text_hash", "source", "size", "source_size", "target"]

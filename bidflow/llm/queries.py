@@ -169,13 +169,15 @@ from d join s using (row_no)
 # Levels: the share of a weight of one once the sources before (by size over weight) stop at their most.
 OP5_SQL = r"""
 with d as (
-  select row_number() over () as row_no, doc_id, source, md5('17|' || coalesce(cast(doc_id as varchar), '')) as draw,
+  select row_number() over () as row_no, doc_id, source,
+    md5('17|' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))) as draw,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
   from documents
 ),
 s as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as n,
-    cast(case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight
+    cast(case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight,
+    list_max(list_filter([1, 2, 4, 8, 16, 32, 64], lambda b: b = 1 or 64 * b <= sum(size))) as length
   from d group by source
 ),
 level as (
@@ -186,23 +188,24 @@ level as (
     after as (order by source_size / weight, n rows between current row and unbounded following)
 ),
 goal as (
-  select n, least((select level from level where level * weight <= most order by most / weight, n limit 1) * weight, cast(most as double)) as target from level
+  select n, length, least((select level from level where level * weight <= most order by most / weight, n limit 1) * weight, cast(most as double)) as target from level join (select n, length from s) using (n)
 ),
 placed as (
-  select d.*, s.n, s.source_size, coalesce(g.target, 0.0) as target,
-    cast('0x' || substr(draw, 1, 8) as bigint) % greatest(1, least(4096, cast(ceil(source_size / 1000000) as bigint))) as shard
+  select d.*, s.n, s.length, s.source_size, coalesce(g.target, 0.0) as target,
+    cast('0x' || substr(draw, 1, 8) as bigint) % greatest(1, cast(ceil(source_size / 1000000) as bigint)) as shard
   from d join s on s.source is not distinct from d.source left join goal g on g.n = s.n
 ),
 shards as (
-  select n, shard, cast(sum(size) as bigint) as words, cast(ceil(sum(size) / 64) as bigint) as blocks
+  select n, shard, cast(sum(size) as bigint) as words, cast(ceil(sum(size) / any_value(length)) as bigint) as blocks
   from placed where size > 0 group by n, shard
 ),
-caps as (select n, any_value(target) as target, 2 * sum(blocks) as cap from shards join goal using (n) group by n),
-bids as (select n, target / (2 * unnest(range(0, cast(cap as bigint))) + 1) as quotient from caps),
+caps as (select n, any_value(length) as length, any_value(target) as target, 2 * sum(blocks) as cap from shards join goal using (n) group by n),
+bids as (select n, length, target / (2 * unnest(range(0, cast(cap as bigint))) + 1) as quotient from caps),
 seats as (
   select n, count(*) as seats from (
-    select n, row_number() over (order by quotient desc, n) as place from bids
-  ) where place <= (select cast(round(sum(target) / 64) as bigint) from goal) group by n
+    select n, length, row_number() over (partition by length order by quotient desc, n) as place from bids
+  ) join (select length, cast(round_even(sum(target) / length, 0) as bigint) as wanted from goal group by length) using (length)
+  where place <= wanted group by n
 ),
 shard_bids as (select n, shard, words / (2 * unnest(range(0, 2 * blocks)) + 1) as quotient from shards),
 quotas as (
@@ -221,11 +224,12 @@ line as (
   from placed where size > 0
 ),
 cut as (
-  select row_no, n, shard, ends, size, unnest(range(cast((ends - size) // 64 as bigint), cast((ends - 1) // 64 + 1 as bigint))) as block
+  select row_no, n, shard, length, ends, size,
+    unnest(range(cast((ends - size) // length as bigint), cast((ends - 1) // length + 1 as bigint))) as block
   from line
 ),
 taken as (
-  select row_no, sum((least(ends, (block + 1) * 64) - greatest(ends - size, block * 64)) * times) as taken
+  select row_no, sum((least(ends, (block + 1) * length) - greatest(ends - size, block * length)) * times) as taken
   from cut join blocks using (n, shard, block) group by row_no
 )
 select p.doc_id, p.source, p.size, p.source_size, p.target, cast(coalesce(t.taken, 0) as bigint) as taken

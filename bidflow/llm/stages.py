@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidflow.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
 from bidflow.llm.common import table
+from bidflow.operators.ids import with_position
 from bidflow.shared import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,9 +62,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with how many it takes, repeats counted."""
-    taken = mixing.mixed(docs).where("taken > 0").drop("source")
-    keyed = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "text_hash": "_text_hash"})
-    same = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_hash"] == taken["_text_hash"])
-    return keyed.join(taken, same).drop("_id", "_hash", "_text_hash")
+    """The documents that the mix takes words of, with how many it takes, repeats counted. Equal rows stay rows of their own."""
+    taken = staged(mixing.mixed(docs), "mix-taken")
+    key = F.xxhash64("doc_id", "source", "text_hash").alias("_key")
+    taken = taken.select(key, "size", "source_size", "target", "taken")
+    hashed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = hashed.select(*COLUMNS, key)
+    repeated = staged(taken.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "mix-repeated")
+    if repeated.isEmpty():
+        return keyed.join(taken.where("taken > 0"), "_key").drop("_key")
+    single = keyed.join(taken.join(repeated, "_key", "left_anti").where("taken > 0"), "_key").drop("_key")
+    # Both sides have the same keys as often, so the places of equal rows match.
+    rows = with_position(keyed.join(repeated, "_key", "left_semi"), ["_key"], "_place")
+    theirs = with_position(taken.join(repeated, "_key", "left_semi"), ["_key"], "_place")
+    both = rows.drop("_key").join(theirs.where("taken > 0").drop("_key"), "_place").drop("_place")
+    return single.unionByName(both.select(*single.columns))

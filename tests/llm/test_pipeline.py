@@ -89,8 +89,30 @@ def test_equal_rows_leave_one(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (1, text)]
 
 
+def test_the_mix_gives_equal_rows_once_each(spark):
+    text = "some words of a text that rows have in common"
+    rows_ = [(1, text, "en", "a", 5)] * 5 + [(None, text, "en", "b", 5)] * 3 + [(2, "a text of its own", "en", "a", 5), (1, text, "en", None, 5)]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = stages.mix(spark, docs, SMALL).collect()
+    of = Counter((r.doc_id, r.source) for r in got)
+    assert all(n <= Counter((r[0], r[3]) for r in rows_)[key] for key, n in of.items()) and of[1, "a"] >= 3
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1.5
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables_nulls_and_extra_columns(spark, name, stage):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, size string, _key string"
+    none = stage(spark, spark.createDataFrame([], schema), SMALL)
+    assert none.count() == 0 and none.columns[:5] == stages.COLUMNS
+    rows_ = [(None, None, None, None, None, "x", "x", "x"), (None, "", None, None, None, "x", "x", "x"), (1, "one two three", None, None, None, "x", "x", "x")]
+    kept = [r.doc_id for r in stage(spark, spark.createDataFrame(rows_, schema), SMALL).collect()]
+    assert 1 in kept and len(kept) <= 3
+
+
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_the_rest_works_without_this_subpackage(tmp_path):

@@ -306,6 +306,7 @@ def brute_mix(rows, block_words, shard_words):
     """(doc_id, size, source, taken) by the rules, block by block."""
     drawn = lambda *p: hashlib.md5("|".join([str(mixing.SEED), *map(str, p)]).encode()).hexdigest()
     sized = [(i, len(words(t)), s) for i, t, s in rows]
+    texts = {(i, len(words(t))): t for i, t, _ in rows}
     sources = sorted({s for _, _, s in sized}, key=lambda s: (s is None, s or ""))
     size_of = {s: sum(n for _, n, t in sized if t == s) for s in sources}
     goal = mixing.targets([size_of[s] for s in sources], [mixing.WEIGHTS[k % 3] for k in range(len(sources))])
@@ -313,21 +314,26 @@ def brute_mix(rows, block_words, shard_words):
     for i, n, s in sized:
         k = sources.index(s)
         if n:
-            draw = drawn("" if i is None else i)
+            draw = drawn(hashlib.md5(texts[i, n].encode()).hexdigest() if i is None else i)
             shards[k, int(draw[:8], 16) % max(1, -(-size_of[s] // shard_words))].append((draw, i, n))
-    blocks = {key: -(-sum(n for _, _, n in docs) // block_words) for key, docs in shards.items()}
+    length = {k: max(b for b in (1, 2, 4, 8, 16, 32, 64) if b <= block_words and (b == 1 or 64 * b <= size_of[s])) for k, s in enumerate(sources)}
+    blocks = {key: -(-sum(n for _, _, n in docs) // length[key[0]]) for key, docs in shards.items()}
     order = sorted({k for k, _ in shards})
     own = {k: sorted(x for x in shards if x[0] == k) for k in order}
-    seats = brute_apportion([goal[k] for k in order], round(sum(goal) / block_words), [2 * sum(blocks[x] for x in own[k]) for k in order])
+    seats = {}
+    for b in set(length.values()):
+        alike = [k for k in order if length[k] == b]
+        caps = [2 * sum(blocks[x] for x in own[k]) for k in alike]
+        seats |= zip(alike, brute_apportion([goal[k] for k in alike], round(sum(goal[k] for k in alike) / b), caps))
     out = Counter((i, 0, s, 0) for i, n, s in sized if not n)
-    for k, mine in zip(order, seats):
+    for k, mine in seats.items():
         quota = brute_apportion([sum(n for _, _, n in shards[x]) for x in own[k]], mine, [2 * blocks[x] for x in own[k]])
         for x, q in zip(own[k], quota):
             ranked = sorted(range(blocks[x]), key=lambda b: drawn(k, x[1], b))
             times = {b: q // blocks[x] + (r < q % blocks[x]) for r, b in enumerate(ranked)}
             at = 0
             for _, i, n in sorted(shards[x]):
-                out[i, n, sources[k], sum(times[w // block_words] for w in range(at, at + n))] += 1
+                out[i, n, sources[k], sum(times[w // length[k]] for w in range(at, at + n))] += 1
                 at += n
     return out
 
@@ -344,6 +350,24 @@ def test_mix_equals_brute_force(real, odd, block_words, shard_words):
     assert sorted(map(repr, again)) == sorted(map(repr, found))
 
 
+@pytest.mark.parametrize("sizes", [[20] * 30, [15, 1000], [5, 40, 100, 300, 7, 64, 65], [1, 1, 1], [3000, 9000, 4]])
+def test_small_sources_come_near_their_targets(spark, sizes):
+    rows = []
+    for k, size in enumerate(sizes):
+        left = size
+        while left:
+            n = min(left, 1 + (7 * len(rows)) % 30)
+            rows.append((len(rows) if len(rows) % 5 else None, f"s{k:02d}", " ".join(["word", f"w{len(rows)}"] * n).split()[:n]))
+            left -= n
+    docs = spark.createDataFrame([(i, s, " ".join(w)) for i, s, w in rows], "doc_id bigint, source string, text string")
+    found = mixing.mixed(docs).collect()
+    assert all(0 <= r.taken <= 2 * r.size for r in found)
+    for s in {r.source for r in found}:
+        mine = [r for r in found if r.source == s]
+        taken, target, size = sum(r.taken for r in mine), mine[0].target, mine[0].source_size
+        assert abs(taken - target) <= max(1.5, size / 25), (s, taken, target)
+
+
 def test_mix_of_odd_rows(odd, none):
     got = mixing.mixed(odd)
     assert got.count() == len(ODD) and got.where("taken > 2 * size or target is null").count() == 0
