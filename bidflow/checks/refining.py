@@ -103,6 +103,55 @@ def prices_and_weights(d: Domain) -> DataFrame:
     )
 
 
+@query("""select l_orderkey, l_linenumber, cast(cast(l_extendedprice as decimal(14,2)) as double) as price,
+    cast(cast(l_quantity + 1 as decimal(14,3)) as double) as tons from lineitem""")
+def spelled_amounts(d: Domain) -> DataFrame:
+    """Prices in thousands and millions, ranges, and weights as ranges."""
+    n, price = F.col("l_linenumber") % 4, F.col("l_extendedprice").cast("decimal(14,2)")
+    thousands = F.translate((price / 1000).cast("decimal(14,5)").cast("string"), ".", ",")
+    written = (
+        F.when(n == 0, F.concat(thousands, F.lit(" тыс. руб")))
+        .when(n == 1, F.concat(F.lit("от "), (price / 1_000_000).cast("decimal(14,8)").cast("string"), F.lit(" млн")))
+        .when(n == 2, F.concat(thousands, F.lit(" т.р.")))
+        .otherwise(F.concat(price.cast("string"), F.lit("–"), (price + 500).cast("string"), F.lit(" руб")))
+    )
+    low, high = F.col("l_quantity").cast("int"), (F.col("l_quantity") + 1).cast("int")
+    weight = (
+        F.when(n == 0, F.concat(low, F.lit("-"), high, F.lit(" т")))
+        .when(n == 1, F.concat((low * 1000).cast("string"), F.lit(" - "), (high * 1000).cast("string"), F.lit(" кг")))
+        .otherwise(F.concat((high / 1000).cast("decimal(14,6)").cast("string"), F.lit(" тыс. т")))
+    )
+    texts = d.given("lineitem").select(
+        "l_orderkey", "l_linenumber", values.clean(written).alias("price"), values.clean(weight).alias("weight")
+    )
+    return texts.select(
+        "l_orderkey", "l_linenumber", values.price(F.col("price")).alias("price"), values.weight_tons(F.col("weight")).alias("tons")
+    )
+
+
+@query("""select o_orderkey, strftime(cast(o_orderdate as timestamp) + case o_orderkey % 7 when 0 then interval '10 hours 15 minutes'
+    when 1 then interval '7 hours 15 minutes' when 2 then interval '10 hours 15 minutes' when 4 then interval '1 day 8 hours'
+    when 5 then interval '4 hours 5 minutes' when 6 then interval '4 hours 35 minutes' else interval 0 hour end,
+  '%Y-%m-%d %H:%M:%S.%f') as read_at from orders""")
+def spelled_dates(d: Domain) -> DataFrame:
+    """ISO times with zones, times without seconds, named months, tomorrow, and spans without a number."""
+    when, n = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 7
+    months = F.array(*[F.lit(m) for m in "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()])
+    named = F.concat_ws(" ", F.dayofmonth(when).cast("string"), F.get(months, F.month(when) - 1), F.year(when).cast("string"), F.lit("г."))
+    written = (
+        F.when(n == 0, F.date_format(when, "yyyy-MM-dd'T10:15:00Z'"))
+        .when(n == 1, F.date_format(when, "yyyy-MM-dd'T10:15:00.000+03:00'"))
+        .when(n == 2, F.date_format(when, "yyyy-MM-dd 10:15"))
+        .when(n == 3, named)
+        .when(n == 4, F.lit("Завтра в 08:00"))
+        .when(n == 5, F.lit("час назад"))
+        .otherwise(F.lit("полчаса назад"))
+    )
+    received = when + F.expr("interval '5:05' hour to minute")
+    texts = d.given("orders").select("o_orderkey", values.clean(written).alias("text"), received.alias("received"))
+    return texts.select("o_orderkey", values.moment(F.col("text"), F.col("received")).alias("read_at"))
+
+
 @query("""select c_custkey, case when c_custkey % 4 = 3 then null else '+79' || lpad(cast(c_custkey as varchar), 9, '0') end as phone
   from customer""")
 def phones(d: Domain) -> DataFrame:

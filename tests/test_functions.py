@@ -179,7 +179,7 @@ def test_dedup_key_policies(spark):
         ("$1,200", "1200.00"),
         ("1,200,000 usd", "1200000.00"),
         ("1.200.000 руб", "1200000.00"),
-        ("1,2 млн", "1.20"),
+        ("1,2 млн", "1200000.00"),
         ("цена 12,500 руб", "12.50"),
         ("7.5.", "7.50"),
         ("1 200,5", "1200.50"),
@@ -224,3 +224,84 @@ def test_relative_dates_count_back(spark):
         ("1 day ago", datetime(2025, 12, 2, 10, 5)),
     ):
         assert one(spark, values.moment(F.col("t"), F.col("r")), t=written, r=at) == expected, written
+
+
+@pytest.mark.parametrize(
+    "written, amount",
+    [
+        ("25 тыс. руб", "25000.00"),
+        ("1,5 млн руб", "1500000.00"),
+        ("25к", "25000.00"),
+        ("$25k", "25000.00"),
+        ("25 т.р.", "25000.00"),
+        ("25 т. руб", "25000.00"),
+        ("2 млрд ₽", "2000000000.00"),
+        ("20-25 тыс руб", "20000.00"),
+        ("25 к оплате", "25.00"),
+        ("30 000 - 35 000 руб", "30000.00"),
+        ("5 т рожь", "5.00"),
+        ("900 000 000 000 млрд", None),
+    ],
+)
+def test_multipliers_and_ranges_of_prices(spark, written, amount):
+    assert one(spark, values.price(F.col("t")), t=written) == (Decimal(amount) if amount else None)
+
+
+@pytest.mark.parametrize(
+    "written, tons",
+    [("20-25 т", "25.000"), ("20 – 22,5 тонн", "22.500"), ("1,2 тыс. т", "1200.000"), ("500 тыс кг", "500.000"), ("25 т.", "25.000"), ("1-2", "2.000")],
+)
+def test_multipliers_and_ranges_of_weights(spark, written, tons):
+    assert one(spark, values.weight_tons(F.col("t")), t=written) == Decimal(tons)
+
+
+def test_notations_of_moments(spark):
+    at = datetime(2025, 12, 3, 10, 5)
+    for written, expected in (
+        ("2025-12-03T10:15:00Z", datetime(2025, 12, 3, 10, 15)),
+        ("2025-12-03T10:15:00.250+03:00", datetime(2025, 12, 3, 7, 15, 0, 250000)),
+        ("2025-12-03 10:15:00+0300", datetime(2025, 12, 3, 7, 15)),
+        ("2025-12-03 10:15", datetime(2025, 12, 3, 10, 15)),
+        ("3 декабря 2025", datetime(2025, 12, 3)),
+        ("3 декабря", datetime(2025, 12, 3)),
+        ("31 мая 2024 г., 09:30", datetime(2024, 5, 31, 9, 30)),
+        ("3 дек. 2025 в 7:05", datetime(2025, 12, 3, 7, 5)),
+        ("3rd March 2024", datetime(2024, 3, 3)),
+        ("31 февраля 2025", None),
+        ("3 слона 2025", None),
+        ("завтра", datetime(2025, 12, 4)),
+        ("Завтра в 08:00", datetime(2025, 12, 4, 8)),
+        ("послезавтра", datetime(2025, 12, 5)),
+        ("позавчера, 23:59", datetime(2025, 12, 1, 23, 59)),
+        ("час назад", datetime(2025, 12, 3, 9, 5)),
+        ("an hour ago", datetime(2025, 12, 3, 9, 5)),
+        ("полчаса назад", datetime(2025, 12, 3, 9, 35)),
+        ("неделю назад", datetime(2025, 11, 26, 10, 5)),
+        ("30 сек. назад", datetime(2025, 12, 3, 10, 4, 30)),
+        ("2025-13-03T10:15:00Z", None),
+        ("3 часа", None),
+    ):
+        df = spark.createDataFrame([(written, at)], "w string, r timestamp").select(values.clean(F.col("w")).alias("t"), "r")
+        assert df.select(values.moment(F.col("t"), F.col("r")).alias("x")).first()["x"] == expected, written
+
+
+def test_tags_with_marks_in_quotes(spark):
+    for page, shown in (
+        ('<p title="a > b">x', "x"),
+        ("<p title = 'a > b' class=c>x</p>y", "x y"),
+        ("<p don't>x</p> it's", "x it's"),
+        ('<p title="open>x</p>', "x"),
+        ("<script>if (a <!-- b) '</p>'</script>x<!-- <script> -->y", "x y"),
+        ("<style>p > a {}</style  >x<script src=a>never closed", "x"),
+        ("<header>h</header><head><title>t</title></head>x", "h x"),
+        ("a <b" + " x=1" * 3000 + ">c" + "<i " + "y" * 50000 + ">d", "a c d"),
+        ("caf&eacute &copy 2025 &#65 &ampx &unknown z", "café © 2025 A &x &unknown z"),
+    ):
+        assert one(spark, text.html_text(F.col("h")), h=page) == shown, page[:60]
+    assert one(spark, text.html_links(F.col("h")), h='<a href="?a=1&copy=2&lt;">x</a>') == ["?a=1&copy=2<"]
+
+
+def test_the_text_of_a_page_is_computed_once(spark):
+    df = spark.createDataFrame([("<p>x</p>",)], "h string").select(text.html_text(F.col("h")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</head") == 1
