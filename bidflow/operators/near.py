@@ -1,27 +1,34 @@
 """Near duplicates: texts that share most of their word triples.
 
-Texts meet in MinHash band buckets, and everyone in a bucket is compared with
-its leader, the smallest id. Who is not similar to the leader meets a narrower
-bucket of the same band next, with a leader of its own: crowds of loosely alike
-texts fall apart into ever closer ones. The number of levels is fixed, so the
-number of comparisons is at most texts x bands x levels; no bucket produces all
-its pairs. Every link is confirmed by the exact Jaccard similarity of the whole
-texts. Groups are the connected parts of the links.
+An exact set-similarity join. Triples that a single text has are left out, the
+others are ordered from rare to frequent, and two similar texts share one among
+the first few of each: fewer of the shorter text than of the longer one, and only
+at places from which enough triples are left for both. So length and place are
+part of the key two texts meet under, and a frequent passage is no meeting point
+unless it makes up nearly all of a text. Meeting points with many texts on both
+sides are crowds of alike texts as a rule: they are compared with one of them
+first, and then only across the classes that this gives. Every link is confirmed
+by the exact Jaccard similarity of the whole texts; groups are the connected
+parts of the links, as if all pairs had been compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidflow.functions.text import tokens
 from bidflow.operators.skew import HOT_ROWS, attach_group, salted_join
 from bidflow.shared import cleared, staged
 
-# 64 minima; band b starts at minimum 4 * b and takes as many as its level says.
-BANDS, STEP, LEVELS = 16, 4, (4, 8, 16, 32)
+# A meeting point with at most so many texts on one side gives its pairs at once.
+FEW = 32
+# Lengths are told apart by this ratio where texts meet.
+RATIO = 1.05
 
 
 def shingles(words: Column, size: int = 3) -> Column:
@@ -34,15 +41,6 @@ def shingles(words: Column, size: int = 3) -> Column:
     return F.array_distinct(runs)
 
 
-def band_keys(texts: DataFrame) -> DataFrame:
-    """MinHash of hash sets (id, shingles): (id, keys), per band one key for each level, widest bucket first."""
-    least = [F.min(F.xxhash64(F.lit(i), F.col("shingle"))) for i in range(BANDS * STEP)]
-    minima = texts.select("id", F.explode("shingles").alias("shingle")).groupBy("id").agg(F.array(*least).alias("minima"))
-    twice = F.concat("minima", "minima")
-    keys = [F.array(*[F.xxhash64(F.slice(twice, band * STEP + 1, used)) for used in LEVELS]) for band in range(BANDS)]
-    return minima.select("id", F.array(*keys).alias("keys"))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
@@ -93,64 +91,113 @@ def _spread(edges: DataFrame, labels: DataFrame, sizes: DataFrame, hot_rows: int
     )
 
 
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double") + 1e-9) / math.log(RATIO)).cast("int")
+
+
+def _least(share: Column) -> Column:
+    """The smallest whole number that is not below ``share``."""
+    return F.ceil(share - 1e-9).cast("int")
+
+
+def meeting_points(texts: DataFrame, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(bucket, as_longer, id, n, rest) under which texts (id, gate, shingles) may meet a similar one.
+
+    Of two texts the longer one looks (``as_longer``) where the shorter one lies.
+    A text of n triples has a triple in common with a similar one among its first
+    n - least common + 1; ``rest`` counts its triples from that one on. The least
+    common number is threshold x n for the longer text, and for the shorter one
+    what two texts of its length need.
+    """
+    rows = texts.select("id", F.size("shingles").alias("n"), "gate", F.explode("shingles").alias("shingle"))
+    rows = rows.select("id", "n", F.xxhash64("gate", "shingle").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    shared = attach_group(rows, often, ["token"], "inner", hot_rows=hot_rows)
+    mine = Window.partitionBy("id")
+    # Triples of no other text come first of all.
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n_rows", "token"))
+    placed = shared.withColumn("rest", F.col("n") - place + 1)
+    t = float(threshold)
+    placed = placed.where(F.col("rest") >= _least(t * F.col("n"))).select("id", "n", "token", "rest")
+    # With ``rest`` of its triples left a text can be similar to texts up to this length.
+    most = F.floor(F.col("rest") * (1 + t) / t - F.col("n") + 1e-9)
+    lying = placed.where(most >= F.col("n")).select(
+        F.xxhash64("token", _length_class(F.col("n"))).alias("bucket"), F.lit(False).alias("as_longer"), "id", "n", "rest"
+    )
+    shortest, longest = _least(t * F.col("n")), F.least("n", most)
+    classes = F.sequence(_length_class(shortest), _length_class(longest))
+    looking = placed.where(longest >= shortest).select("id", "n", "rest", "token", F.explode(classes).alias("c"))
+    looking = looking.select(F.xxhash64("token", "c").alias("bucket"), F.lit(True).alias("as_longer"), "id", "n", "rest")
+    return lying.unionAll(looking)
+
+
+def _possible(threshold: float, price_tolerance: float | None) -> Column:
+    """Whether a longer text (id, n, rest, price) may be similar to a shorter one (other_...)."""
+    t = float(threshold)
+    n, other = F.col("n"), F.col("other_n")
+    good = (other <= n) & (other >= t * n - 1e-9) & ((other < n) | (F.col("id") > F.col("other_id")))
+    good = good & (F.least("rest", "other_rest") >= (n + other) * t / (1 + t) - 1e-9)
+    return good & _near_price(price_tolerance)
+
+
+def _near_price(price_tolerance: float | None) -> Column:
+    if price_tolerance is None:
+        return F.lit(True)
+    spread = F.abs(F.col("price") - F.col("other_price"))
+    near = spread <= F.greatest(F.abs("price"), F.abs("other_price")) * price_tolerance
+    return F.coalesce(near, F.lit(False)) | (F.col("price").isNull() & F.col("other_price").isNull())
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, hot_rows: int) -> DataFrame:
+    """Those (id, other_id) of ``pairs`` whose sets are similar, as links (id, leader), leader the smaller id."""
+    pairs = staged(pairs.select("id", "other_id").distinct(), "pairs")
+    sizes = pairs.groupBy("other_id").agg(F.count("*").alias("n_rows"))
+    theirs = texts.select(F.col("id").alias("other_id"), F.col("shingles").alias("other_shingles"))
+    joined = salted_join(pairs.join(texts.select("id", "shingles"), "id"), theirs, sizes, ["other_id"], hot_rows=hot_rows)
+    good = joined.where(jaccard(F.col("shingles"), F.col("other_shingles")) >= threshold)
+    return staged(good.select(F.greatest("id", "other_id").alias("id"), F.least("id", "other_id").alias("leader")), "links")
+
+
 def near_links(
-    texts: DataFrame, threshold: float, price_tolerance: float | None, hot_rows: int = HOT_ROWS
+    texts: DataFrame, threshold: float, price_tolerance: float | None, hot_rows: int = HOT_ROWS, few: int = FEW
 ) -> DataFrame:
-    """Confirmed (id, leader) links among ``texts`` (id, gate, price, shingles)."""
-    # Kept thin: the shingles stay behind.
-    open_rows = staged(
-        texts.select(
-            "id",
-            "gate",
-            "price",
-            F.size("shingles").alias("n"),
-        )
-        .join(band_keys(texts), "id")
-        .select("id", "gate", "price", "n", F.posexplode("keys").alias("band", "keys"))
-        .select("id", "price", "n", "keys", F.xxhash64("band", "gate").alias("place")),
-        "bands",
+    """Confirmed (id, leader) links among ``texts`` (id, gate, price, shingles) that connect all that are similar."""
+    points = staged(meeting_points(texts, threshold, hot_rows), "points")
+    sides = points.groupBy("bucket").agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("as_longer").alias("lookers"),
+        F.count_if(~F.col("as_longer")).alias("liers"),
+        F.min(F.when(~F.col("as_longer"), F.col("id"))).alias("leader"),
     )
-    wide = texts.select(F.col("id").alias("leader"), F.col("shingles").alias("leader_shingles"))
-    links = None
-    for level in range(len(LEVELS)):
-        rows = open_rows.withColumn("bucket", F.xxhash64("place", F.get("keys", F.lit(level))))
-        buckets = (
-            rows.groupBy("bucket")
-            .agg(F.count("*").alias("n_rows"), F.min("id").alias("leader"))
-            .where("n_rows > 1")
-        )
-        leaders = buckets.join(
-            rows.select("bucket", F.col("id").alias("leader"), F.col("price").alias("lprice"), F.col("n").alias("ln")),
-            ["bucket", "leader"],
-        )
-        met = staged(
-            attach_group(rows, leaders, ["bucket"], "inner", hot_rows=hot_rows)
-            .where(F.col("id") != F.col("leader"))
-            .drop("bucket", "n_rows"),
-            "met",
-        )
-        possible = F.least("n", "ln") >= F.greatest("n", "ln") * threshold
-        if price_tolerance is not None:
-            spread = F.abs(F.col("price") - F.col("lprice"))
-            near_price = spread <= F.greatest(F.abs("price"), F.abs("lprice")) * price_tolerance
-            possible = possible & (near_price | (F.col("price").isNull() & F.col("lprice").isNull()))
-        pairs = staged(met.where(possible).select("id", "leader").distinct(), "pairs")
-        sizes = pairs.groupBy("leader").agg(F.count("*").alias("n_rows"))
-        found = staged(
-            salted_join(
-                pairs.join(texts.select("id", "shingles"), "id"), wide, sizes, ["leader"], hot_rows=hot_rows
-            )
-            .where(jaccard(F.col("shingles"), F.col("leader_shingles")) >= threshold)
-            .select("id", "leader"),
-            "links",
-        )
-        links = found if links is None else links.unionAll(found)
-        open_rows = met.join(found, ["id", "leader"], "left_anti").select("id", "price", "n", "keys", "place")
-        if level + 1 < len(LEVELS):
-            open_rows = staged(open_rows, "open")
-            if open_rows.isEmpty():
-                break
-    return links
+    sides = sides.where("lookers > 0 and liers > 0 and n_rows > 2")
+    crowded = F.least("lookers", "liers") > few
+    met = attach_group(points, sides.withColumn("crowded", crowded).drop("lookers", "liers"), ["bucket"], "inner", hot_rows=hot_rows)
+    met = staged(met.join(texts.select("id", "price"), "id"), "met")
+    # Everybody in a crowd and the smallest id that lies there.
+    crowds = met.where("crowded")
+    led = crowds.where(F.col("id") != F.col("leader")).select("id", F.col("leader").alias("other_id")).distinct()
+    prices = texts.select(F.col("id").alias("other_id"), F.col("price").alias("other_price"), F.size("shingles").alias("other_n"))
+    led = led.join(texts.select("id", "price", F.size("shingles").alias("n")), "id").join(prices, "other_id")
+    as_long = F.least("n", "other_n") >= F.greatest("n", "other_n") * threshold - 1e-9
+    first = _confirmed(led.where(as_long & _near_price(price_tolerance)), texts, threshold, hot_rows)
+    groups = staged(connected_groups(first, hot_rows), "classes")
+    rows = met.join(groups, "id", "left").withColumn("class", F.coalesce("group_id", "id"))
+    rows = staged(rows.select("bucket", "as_longer", "crowded", "id", "n", "rest", "price", "class"), "rows")
+    other = rows.where("not as_longer").drop("as_longer", "crowded")
+    other = other.withColumnsRenamed({c: f"other_{c}" for c in ("id", "n", "rest", "price", "class")})
+    possible = _possible(threshold, price_tolerance) & (F.col("class") != F.col("other_class"))
+    small = rows.where("as_longer and not crowded").join(other, "bucket").where(possible)
+    # In a crowd only what lies outside its largest class has pairs that are not known yet.
+    per_class = rows.where("crowded").groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    major = per_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("most"), F.count("*").alias("classes"))
+    major = major.where("classes > 1").select("bucket", F.col("most.class").alias("major"))
+    mixed = rows.where("crowded").join(major, "bucket")
+    liers = other.join(major, "bucket")
+    minor = liers.where(F.col("other_class") != F.col("major")).drop("major")
+    outside = mixed.where("as_longer and class != major").drop("major").join(liers.drop("major"), "bucket").where(possible)
+    inside = mixed.where("as_longer and class = major").drop("major").join(minor, "bucket").where(possible)
+    pairs = reduce(DataFrame.unionAll, [p.select("id", "other_id") for p in (small, outside, inside)])
+    return first.unionAll(_confirmed(pairs, texts, threshold, hot_rows))
 
 
 def near_duplicates(

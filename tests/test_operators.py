@@ -1,6 +1,7 @@
 """Joins, duplicates, rules, reports, schedules against plain Python."""
 
 import json
+import random
 from collections import defaultdict
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -148,6 +149,48 @@ def test_near_duplicates_against_all_pairs(spark):
         assert all(r.is_near_duplicate == (r.id != r.group_id) for r in got)
 
 
+def adversarial(kind, rng):
+    """Texts around a passage that most of them share, families of close copies, and sets near the limit."""
+    passage = words_of(1, 80)
+    if kind == "passage":
+        # Between nothing and nearly all of a text is the passage.
+        return [passage[: 80 - i % 30] + words_of(100 + i, 2 + (i * 7) % 40) for i in range(90)]
+    if kind == "families":
+        out = []
+        for family in range(6):
+            base = words_of(200 + family, 30 + 25 * family)
+            for _ in range(14):
+                copy = [w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in base]
+                out.append(copy[: len(copy) - rng.randrange(4)])
+        return out
+    if kind == "few words":
+        return [[rng.choice("abcd") for _ in range(rng.randrange(1, 12))] for _ in range(150)]
+    base = [f"w{rng.randrange(25)}" for _ in range(60)]
+    return [base[rng.randrange(8) : 60 - rng.randrange(8)] + [f"y{rng.randrange(3)}"] * rng.randrange(3) for _ in range(100)]
+
+
+@pytest.mark.parametrize(
+    ("kind", "few"), [("passage", 1), ("families", 1), ("families", 32), ("few words", 1), ("near the limit", 1)]
+)
+def test_near_duplicates_of_adversarial_texts(spark, monkeypatch, kind, few):
+    rng = random.Random(f"{kind}")
+    texts = adversarial(kind, rng)
+    stored = R.bids(spark, [{"description": " ".join(t)} for t in texts])
+    links = near.near_links
+    monkeypatch.setattr(near, "near_links", lambda *args: links(*args, few=few))
+    got = {r.id: r.group_id for r in near.near_duplicates(stored, threshold=0.8, price_tolerance=None).collect()}
+    assert got == expected_groups(texts, ["A"] * len(texts), 0.8)
+
+
+def test_a_common_passage_is_no_meeting_point(spark):
+    passage = " ".join(words_of(1, 80))
+    texts = spark.createDataFrame([(i, passage + " " + " ".join(words_of(100 + i, 30))) for i in range(60)], "id long, text string")
+    texts = texts.select("id", F.lit("g").alias("gate"), F.split("text", " ").alias("words"))
+    points = near.meeting_points(texts.select("id", "gate", near.shingles(F.col("words")).alias("shingles")), 0.8)
+    lying = points.where("not as_longer").groupBy("bucket").count()
+    assert lying.where("count > 1").count() == 0
+
+
 def test_near_duplicates_respect_prices_and_fold_floods_of_copies(spark):
     text = " ".join(words_of(5, 60))
     data = [{"description": text, "price_value": Decimal(100)} for _ in range(300)]
