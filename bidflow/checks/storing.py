@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ from bidflow.operators.upsert import upsert_sources
 from bidflow.plans.export import run_exports
 from bidflow.plans.harvest import harvest, stage_batch, unseen
 from bidflow.plans.health import harvest_due
+from bidflow.plans.outcomes import harvest_with_outcomes
 from bidflow.plans.publish import Warehouse
 from bidflow.plans.refine import reprocess
 from bidflow.schemas import RAW_ITEMS, TABLES
@@ -217,6 +218,44 @@ def job_counters(d: Domain) -> DataFrame:
     return jobs.drop("id", "created_at", "created_part")
 
 
+MIXED = f"{LANDED}, mixed as (select *, external_id is null or lang = 'es' as bad from landed)"
+
+
+def _mixed(d: Domain) -> Warehouse:
+    """A harvest in which rows without external id, and all that claim source 7, come without payload; it takes 90 seconds."""
+    warehouse = _warehouse(d)
+    rows = landed(d)
+    rows = rows.withColumn("payload", F.when(F.col("external_id").isNotNull() & (F.col("source_id") != 7), F.col("payload")))
+    harvest_with_outcomes(warehouse, d.sources, rows, _codes(d), "b1", NOW, clock=lambda: NOW + timedelta(seconds=90))
+    return warehouse
+
+
+@query(f"""{MIXED}, totals as (select source_id, count(*) as total, count(*) filter (bad) as rejected from mixed group by source_id),
+  asked as (select id as source_id from sources union select source_id from totals)
+  select source_id, case when rejected > 0 and rejected = total then 'failed' else 'done' end as status,
+    '2025-12-03 10:15:00.000000' as started_at, '2025-12-03 10:16:30.000000' as finished_at,
+    coalesce(total, 0) as items_total, coalesce(total - rejected, 0) as items_created,
+    case when rejected > 0 then rejected || ' of ' || total || ' rows rejected' end as error_message
+  from asked left join totals using (source_id)""")
+def job_outcomes(d: Domain) -> DataFrame:
+    """Stored jobs of a harvest with bad rows: every source has one."""
+    return _mixed(d).read("jobs").select(
+        "source_id", "status", "started_at", "finished_at", "items_total", "items_created", "error_message"
+    )
+
+
+@query(f"""{MIXED} select row_number() over (order by source_id, external_id nulls first, url nulls first) as id, source_id,
+    source_id as job_source, external_id, url, 'error' as severity, 'payload is missing' as message,
+    '2025-12-03 10:16:30.000000' as occurred_at from mixed where bad""")
+def rejected_rows(d: Domain) -> DataFrame:
+    """Stored errors of a harvest with bad rows, with the source of the job they belong to."""
+    warehouse = _mixed(d)
+    jobs = warehouse.read("jobs").select(F.col("id").alias("job_id"), F.col("source_id").alias("job_source"))
+    errors = warehouse.read("errors").join(jobs, "job_id", "left")
+    given = [F.get_json_object("details", f"$.{c}").alias(c) for c in ("external_id", "url")]
+    return errors.select("id", "source_id", "job_source", *given, "severity", "message", "occurred_at")
+
+
 RETAINED = f"{LANDED}, stored as (select * from {numbered('landed')})"
 CUTOFF = datetime(2024, 1, 1, 6)
 

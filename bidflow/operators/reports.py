@@ -34,6 +34,36 @@ def job_counters(raw_items: DataFrame, bids: DataFrame, started: datetime, finis
     )
 
 
+def outcome_counters(
+    checked: DataFrame, bids: DataFrame, requested: DataFrame, started: datetime, finished: datetime
+) -> DataFrame:
+    """One finished job per source that was ``requested`` (source_id) or has ``checked`` rows (source_id, reason).
+
+    ``reason`` tells why a row was rejected. A source has failed when it has
+    rejected rows and no other ones.
+    """
+    zero, one = F.lit(0), F.lit(1)
+    rejected = F.col("reason").isNotNull().cast("int")
+    rows = (
+        checked.select("source_id", one.alias("total"), rejected.alias("rejected"), zero.alias("created"))
+        .unionAll(bids.select("source_id", zero, zero, one))
+        .unionAll(requested.select("source_id", zero, zero, zero))
+    )
+    counts = rows.groupBy("source_id").agg(*[F.sum(c).cast("int").alias(c) for c in ("total", "rejected", "created")])
+    none_left = (F.col("rejected") > 0) & (F.col("rejected") == F.col("total"))
+    return counts.select(
+        "source_id",
+        F.lit("harvest").alias("job_type"),
+        F.when(none_left, "failed").otherwise("done").alias("status"),
+        F.lit(started).cast("timestamp").alias("started_at"),
+        F.lit(finished).cast("timestamp").alias("finished_at"),
+        F.col("total").alias("items_total"),
+        F.col("created").alias("items_created"),
+        zero.alias("items_updated"),
+        F.when(F.col("rejected") > 0, F.format_string("%d of %d rows rejected", "rejected", "total")).alias("error_message"),
+    )
+
+
 def reprocess_counters(raw_items: DataFrame, rebuilt: DataFrame, started: datetime, finished: datetime) -> DataFrame:
     """One finished job per source of a reprocessing; ``rebuilt`` has ``_id`` where a bid was there before."""
     total = raw_items.groupBy("source_id").agg(F.count("*").alias("items_total"))

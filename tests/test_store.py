@@ -14,6 +14,7 @@ from bidflow.operators import evolve, lookups, mapping
 from bidflow.operators.ids import with_dense_ids, with_position
 from bidflow.operators.upsert import upsert_sources
 from bidflow.plans.harvest import harvest, stage_batch
+from bidflow.plans.outcomes import harvest_with_outcomes
 from bidflow.plans.publish import Warehouse
 from bidflow.plans.refine import reprocess
 from bidflow.sources.providers import stub_items
@@ -521,3 +522,42 @@ def test_changes_of_a_small_table_meet(spark, tmp_path):
 
     add(one, 2)
     assert sorted(r.id for r in two.current("sources").collect()) == [1, 2, 3]
+
+
+def test_bad_rows_become_errors_of_their_jobs(spark, warehouse):
+    src = R.sources(spark, [(1, "a", "A", True), (2, "b", "B", True), (3, "c", "C", True)])
+    rows = R.provided(spark, [("a", 0, "x", "p"), ("a", 0, "y", ""), ("b", 0, None, ""), ("b", 0, "u" * 300, "p"), ("b", 0, "z", "")])
+    rows = rows.withColumn("payload", F.nullif("payload", F.lit("")))
+    later = NOW + timedelta(seconds=40)
+    args = (src, rows, src.select("code"))
+    assert harvest_with_outcomes(warehouse, *args, "b1", NOW, "idempotent", clock=lambda: later)
+    assert not harvest_with_outcomes(warehouse, *args, "b1", NOW)
+    jobs = {r.source_id: r for r in warehouse.read("jobs").collect()}
+    found = {s: (r.status, r.items_total, r.items_created, r.error_message) for s, r in jobs.items()}
+    assert found == {1: ("done", 2, 1, "1 of 2 rows rejected"), 2: ("failed", 3, 0, "3 of 3 rows rejected"), 3: ("done", 0, 0, None)}
+    assert {(r.started_at, r.finished_at) for r in jobs.values()} == {(NOW, later)}
+    assert [r.external_id for r in warehouse.read("raw_items").collect()] == ["x"]
+    errors = warehouse.read("errors").orderBy("id").collect()
+    assert [r.id for r in errors] == [1, 2, 3, 4] and {r.severity for r in errors} == {"error"}
+    assert all(r.job_id == jobs[r.source_id].id for r in errors)
+    assert [(r.source_id, r.message) for r in errors] == [
+        (1, "payload is missing"), (2, "external_id is longer than 128"), (2, "payload is missing"), (2, "payload is missing"),
+    ]
+    assert json.loads(errors[2].details) == {} and json.loads(errors[3].details)["external_id"] == "z"
+    # Nothing new: no items, yet the runs and their errors are told.
+    assert harvest_with_outcomes(warehouse, *args, "b2", later, "idempotent")
+    assert warehouse.read("raw_items").count() == 1 and warehouse.read("bids").count() == 1
+    assert sorted(r.id for r in warehouse.read("jobs").collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.id for r in warehouse.read("errors").collect()) == list(range(1, 9))
+
+
+def test_outcomes_of_no_rows(spark, warehouse):
+    src = R.sources(spark, [(1, "a", "A", True)])
+    none = R.provided(spark, [])
+    assert harvest_with_outcomes(warehouse, src, none, src.select("code"), "b1", NOW)
+    job = warehouse.read("jobs").collect()
+    assert [(r.source_id, r.status, r.items_total) for r in job] == [(1, "done", 0)]
+    assert warehouse.read("errors").count() == 0 and warehouse.visible("raw_items") == []
+    assert not harvest_with_outcomes(warehouse, src, none, src.where("false").select("code"), "b2", NOW)
+    with pytest.raises(ValueError, match="not found"):
+        harvest_with_outcomes(warehouse, src, none, spark.createDataFrame([("q",)], "code string"), "b3", NOW)
