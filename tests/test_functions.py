@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidflow.functions import keys, text, values
+from bidflow.operators.rules import any_keyword
 
 
 def one(spark, column, **cells):
@@ -305,3 +306,22 @@ def test_the_text_of_a_page_is_computed_once(spark):
     df = spark.createDataFrame([("<p>x</p>",)], "h string").select(text.html_text(F.col("h")).alias("x"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</head") == 1
+
+
+def test_a_price_reads_no_second_number(spark):
+    texts = ["12,5 тыс. руб", "10–20 т", "1.000.000", "USD 1,234", "1,234 руб", "нет", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    prices = df.select(values.price(F.col("t")).alias("p"))
+    # The cast of a missing second number fails, and throws, inside the engine for every row.
+    assert "high" not in prices._jdf.queryExecution().optimizedPlan().toString()
+    found = [None if r.p is None else float(r.p) for r in prices.collect()]
+    assert found == [12500, 10, 1e6, 1234, 1.23, None, None, None]
+
+
+def test_keywords_are_looked_for_by_their_first_letters(spark):
+    pattern = any_keyword(["blue bolt", "Груз"])
+    assert pattern.startswith("(?iU)(?=[bГ])")
+    texts = ["a BLUE  bolt", "blue bolts", "груз", "грузы", "xblue bolt", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(F.col("t").rlike(pattern)).collect()] == [True, False, True, False, False, False]
+    assert "(?=" not in any_keyword([]) and "(?=" not in any_keyword(["-x", "blue"])
