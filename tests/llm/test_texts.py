@@ -786,3 +786,18 @@ def test_sample_is_bounded_when_one_row_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = language.sample(docs, 20).groupBy("lang").count().collect()
     assert {r.lang: r["count"] <= 10 for r in got} == {"en": True, "de": True}
+
+
+def test_texts_of_a_crowd_meet_others_than_its_leader(spark, monkeypatch):
+    """Texts around one passage, in alike pairs; buckets are crowds from two texts on, blocks hold three."""
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for pair in range(8):
+        own = [f"u{pair}x{i}" for i in range(20)]
+        changed = [w if i % 4 else f"{w}y" for i, w in enumerate(own)]
+        rows += [(2 * pair, " ".join(passage + own)), (2 * pair + 1, " ".join(passage + changed))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(16)}
