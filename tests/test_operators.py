@@ -431,3 +431,16 @@ def test_large_keys_are_listed_without_a_limit(spark):
     joined = attach_group(rows, groups, ["key"], "inner", hot_rows=2)
     assert joined.count() == 4000 and joined.where("least <> id % 2000").count() == 0
     assert "Limit" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_dedup_strategies_write_keys_only(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(dedup, "staged", lambda df, label: (written.append(set(df.columns)), df)[1])
+    rows = [{"description": t, "external_id": e} for t, e in [("a", "1"), ("a", "1"), ("b", None), ("b", "2"), (None, "2"), (None, None)]]
+    strategies = [{"keys": ["description"]}, {"keys": ["external_id"], "keep": "last"}, {"keys": ["description", "external_id"], "null_policy": "equal"}]
+    marked = dedup.mark_by_all(R.bids(spark, rows), strategies).orderBy("id").collect()
+    assert [r.is_duplicate for r in marked] == [True, True, False, True, False, False]
+    assert [bool(r.dedup_key) for r in marked] == [True] * 6
+    assert marked[0].dedup_key != marked[1].dedup_key and marked[2].dedup_key == marked[3].dedup_key
+    assert written == [{"id", "created_at", "_key0", "_key1", "_key2"}]
+    assert not any(r.is_duplicate or r.dedup_key for r in dedup.mark_by_all(R.bids(spark, rows), []).collect())
