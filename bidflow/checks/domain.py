@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bidflow import schemas
 from bidflow.operators.ids import with_dense_ids
-from bidflow.shared import new_path
+from bidflow.shared import new_path, sized, staged
 from bidflow.sources.tables import read_table
 
 LINE_ORDER = (
@@ -122,18 +122,24 @@ class Domain:
         key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}")
         if key not in _stored:
             path = new_path(self.spark, name)
-            rows = getattr(self, f"_{name}")().select(*schemas.TABLES[name].fieldNames())
-            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
-            writer = rows.write
-            if partitioned:
-                # Ship dates span years: one folder per year keeps the folders few.
-                parted = rows.withColumn("created_part", F.to_date(F.date_trunc("year", "created_at")))
-                writer = parted.sortWithinPartitions("created_part", "source_id", "created_at").write
-                writer = writer.partitionBy("created_part")
-            writer.parquet(path)
+            # Bids are shuffled by every table they are made of; the others only meet the sources.
+            lines = self.given("lineitem").count() if name == "bids" else 0
+            with sized(self.spark, lines):
+                self._write(name, path, partitioned)
             _stored[key] = path
         return read_table(self.spark, _stored[key], name, partitioned)
 
+    def _write(self, name: str, path: str, partitioned: bool) -> None:
+        rows = getattr(self, f"_{name}")().select(*schemas.TABLES[name].fieldNames())
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
+        writer = rows.write
+        if partitioned:
+            # Ship dates span years: one folder per year keeps the folders few.
+            parted = rows.withColumn("created_part", F.to_date(F.date_trunc("year", "created_at")))
+            writer = parted.sortWithinPartitions("created_part", "source_id", "created_at").write
+            writer = writer.partitionBy("created_part")
+        writer.parquet(path)
+
     @property
     def sources(self) -> DataFrame:
         return self._table("sources")
@@ -209,33 +215,50 @@ class Domain:
         return with_dense_ids(self.given("lineitem"), LINE_ORDER, on_files=True)
 
     def _bids(self) -> DataFrame:
-        nation = self.given("nation").join(self.given("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        """Lines are shuffled as numbers, flags and dates; names of places come last, from a table small enough to be sent around."""
+        nation = staged(
+            self.given("nation").join(self.given("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", "n_name", "r_name"),
+            "places",
+        )
         load = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("load_location"), F.col("r_name").alias("load_region"))
         unload = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("unload_location"), F.col("r_name").alias("unload_region"))
-        supplier = self.given("supplier").join(load, "s_nationkey")
-        orders = self.given("orders").join(
-            self.given("customer").join(unload, "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
+        customer = self.given("customer").select("c_custkey", "c_nationkey", "c_name")
+        orders = (
+            self.given("orders")
+            .select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .drop("o_custkey")
         )
         lines = (
             self.numbered_lines()
+            .select(
+                "id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
+                (F.col("l_returnflag") != "R").alias("linked"),
+                (F.col("l_linestatus") == "O").alias("described"),
+            )
+            .join(self.given("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .drop("s_suppkey")
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.given("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .drop("o_orderkey")
+            .join(self.given("part").select("p_partkey", "p_name", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(load, "s_nationkey")
+            .join(unload, "c_nationkey")
         )
         text, phone = F.lit(None).cast("string"), F.concat(F.lit("+79"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
         return lines.select(
             "id",
             (F.col("l_suppkey") % 20 + 1).alias("source_id"),
-            F.when(F.col("l_returnflag") != "R", F.col("l_partkey") + 1).alias("raw_item_id"),
+            F.when(F.col("linked"), F.col("l_partkey") + 1).alias("raw_item_id"),
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("external_id"),
             F.col("p_name").alias("title"),
-            F.when(F.col("l_linestatus") == "O", F.concat("p_name", F.lit(", "), F.lower("p_type"))).alias("description"),
+            F.when(F.col("described"), F.concat("p_name", F.lit(", "), F.lower("p_type"))).alias("description"),
             F.col("p_type").alias("cargo_type"),
             F.col("p_brand").alias("transport_type"),
             F.col("l_quantity").alias("weight_value"),
             F.lit("t").alias("weight_unit"),
             F.col("l_extendedprice").alias("price_value"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", "USD").otherwise("RUB").alias("price_currency"),
+            F.when(F.col("urgent"), "USD").otherwise("RUB").alias("price_currency"),
             "load_location", "unload_location", "load_region", "unload_region",
             F.col("o_orderdate").alias("published_at"),
             text.alias("received_at"),
