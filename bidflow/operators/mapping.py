@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ def raw_to_entity(raw_items: DataFrame) -> DataFrame:
     )
 
 
-def raw_from_entity(entities: DataFrame) -> DataFrame:
-    """Stored form of new, numbered raw items."""
+def raw_from_entity(entities: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Stored form of new, numbered raw items, with the columns of ``keep`` beside it."""
     nothing = F.lit(None).cast("string")
     return entities.select(
         "id",
@@ -45,6 +46,7 @@ def raw_from_entity(entities: DataFrame) -> DataFrame:
         nothing.alias("error_message"),
         nothing.alias("hash"),
         "created_at",
+        *keep,
     )
 
 

@@ -19,6 +19,9 @@ from bidflow.shared import cleared, staged
 # Order in which new raw items get their ids.
 INSERT_ORDER = ("source_id", "external_id", "_hash", "received_at", "url")
 
+# What bids are built from beside the columns of a raw item.
+SOURCE_COLUMNS = ("source_code", "source_name")
+
 
 def unseen(provided: DataFrame, keys: DataFrame) -> DataFrame:
     """Provided items whose key (source, external id and content) is not in ``keys`` (key).
@@ -75,7 +78,8 @@ def stage_batch(
     ``append`` takes everything provided, again on every run. ``idempotent``
     takes only what is not stored yet, by the stored keys; stored payloads are
     not read. What is provided is written once, numbered without its payloads,
-    and meets its ids by its place in the files.
+    and meets its ids by its place in the files. Bids, all created now, are built
+    from the raw items as written, so payloads meet their ids and days only once.
     """
     if mode not in ("append", "idempotent"):
         raise ValueError(f"mode must be 'append' or 'idempotent', not {mode!r}")
@@ -91,8 +95,9 @@ def stage_batch(
     if ids.isEmpty():
         return False
     numbered = rows.join(ids, ["_file", "_row"])
-    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered))
-    warehouse.stage("bids", batch_id, bids_of(numbered, now, last_bid - last_raw))
+    warehouse.stage("raw_items", batch_id, raw_from_entity(numbered, SOURCE_COLUMNS))
+    stored = warehouse.staged("raw_items", batch_id, SOURCE_COLUMNS)
+    warehouse.stage("bids", batch_id, bids_of(stored, now, last_bid - last_raw), one_day=True)
     return True
 
 

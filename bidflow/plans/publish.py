@@ -111,17 +111,18 @@ class Warehouse:
         folder = self._folders.setdefault(batch_id, uuid.uuid4().hex)
         return f"{self.root}/{table}/attempt={folder}/batch_id={batch_id}"
 
-    def stage(self, table: str, batch_id: str, rows: DataFrame) -> None:
+    def stage(self, table: str, batch_id: str, rows: DataFrame, one_day: bool = False) -> None:
         """Write one table's part of a batch. Invisible until ``commit``.
 
         Rows are regrouped by creation day (AQE splits large days) and laid out
         in day folders so that ``since`` reads prune whole folders; inside a file
-        they lie by source and time for row-group pruning. The keys of raw items
-        are written beside them.
+        they lie by source and time for row-group pruning. Rows of ``one_day``
+        need no regrouping. The keys of raw items are written beside them.
+        Columns the table does not have are stored, too, but only ``staged`` reads them.
         """
+        parted = rows.withColumn("created_part", F.to_date("created_at"))
         (
-            rows.withColumn("created_part", F.to_date("created_at"))
-            .hint("rebalance", F.col("created_part"))
+            (parted if one_day else parted.hint("rebalance", F.col("created_part")))
             .sortWithinPartitions("created_part", "source_id", "created_at")
             .write.mode("overwrite")
             .partitionBy("created_part")
@@ -131,8 +132,10 @@ class Warehouse:
             keys = self.staged(table, batch_id).select("source_id", item_key().alias("key"))
             keys.write.mode("overwrite").parquet(self._path("raw_keys", batch_id))
 
-    def staged(self, table: str, batch_id: str) -> DataFrame:
-        schema = T.StructType([*schemas.TABLES[table].fields, T.StructField("created_part", T.DateType())])
+    def staged(self, table: str, batch_id: str, more: Iterable[str] = ()) -> DataFrame:
+        """One table's part of a batch as written; ``more`` names text columns that were stored beside its own."""
+        extra = [T.StructField(name, T.StringType()) for name in more]
+        schema = T.StructType([*schemas.TABLES[table].fields, *extra, T.StructField("created_part", T.DateType())])
         return self._read(schema, self._path(table, batch_id))
 
     def stage_deletes(self, batch_id: str, table: str, rows: DataFrame) -> bool:

@@ -172,6 +172,28 @@ def test_many_day_batches_keep_every_row(spark, warehouse):
     assert found.count() == 200 and found.select("created_part").distinct().count() == 40
 
 
+def test_payloads_of_a_harvest_meet_their_ids_and_days_once(spark, warehouse, monkeypatch):
+    """Bids come from the raw items as written: without a second join, and without a shuffle, all being of one day."""
+    plans, stage = {}, Warehouse.stage
+
+    def watched(self, table, batch_id, rows, *more, **named):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        stage(self, table, batch_id, rows, *more, **named)
+
+    monkeypatch.setattr(Warehouse, "stage", watched)
+    src = R.sources(spark, [(1, "A", "Ann", True), (2, "B", "", True)])
+    items = R.provided(spark, [("A", 0, "e", "one"), ("B", 0, None, "two"), ("A", 2, None, "three"), ("B", 0, "e", "four")])
+    assert harvest(warehouse, src, items, R.codes(spark, "A", "B"), "b1", NOW)
+    assert "Join" in plans["raw_items"] and "Join" not in plans["bids"]
+    assert warehouse.read("raw_items").columns == schemas.RAW_ITEMS.fieldNames()
+    got = {r.description: (r.raw_item_id, r.source_id, r.title) for r in warehouse.read("bids").collect()}
+    raw = {r.payload: (r.id, r.source_id) for r in warehouse.read("raw_items").collect()}
+    assert {text: found[:2] for text, found in got.items()} == raw
+    assert got["one"][2] == "Ann: заявка e" and got["four"][2] == "B: заявка e"
+    # The source a row came from names the bid, whatever source it claims.
+    assert got["three"][2] == f"Ann: заявка {got['three'][0]}"
+
+
 def raw_of(spark, warehouse, batch, count, first=0, days=0):
     src = R.sources(spark, [(1, "A", "A", True)])
     items = R.provided(spark, [("A", 0, f"e{i}", f"p{i}") for i in range(first, first + count)])
