@@ -8,6 +8,8 @@ states the same derivations for a second engine.
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,16 +124,27 @@ class Domain:
         key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}")
         if key not in _stored:
             path = new_path(self.spark, name)
-            # Bids are shuffled by every table they are made of; the others only meet the sources.
-            lines = self.given("lineitem").count() if name == "bids" else 0
-            with sized(self.spark, lines):
+            with self.sized(name):
                 self._write(name, path, partitioned)
             _stored[key] = path
         return read_table(self.spark, _stored[key], name, partitioned)
 
-    def _write(self, name: str, path: str, partitioned: bool) -> None:
+    def sized(self, name: str) -> AbstractContextManager[None]:
+        """Around the work that derives a table: bids are shuffled by every table they are made of, the others only meet the sources."""
+        return sized(self.spark, self.given("lineitem").count() if name == "bids" else 0)
+
+    def once(self, name: str) -> DataFrame:
+        """A derived table for work that reads all of it one time: as written if it is, and not written for this otherwise."""
+        if (self.spark.sparkContext.applicationId, f"{self.dir}/{name}") in _stored:
+            return getattr(self, name)
+        return self._derived(name)
+
+    def _derived(self, name: str) -> DataFrame:
         rows = getattr(self, f"_{name}")().select(*schemas.TABLES[name].fieldNames())
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
+
+    def _write(self, name: str, path: str, partitioned: bool) -> None:
+        rows = self._derived(name)
         writer = rows.write
         if partitioned:
             # Ship dates span years: one folder per year keeps the folders few.

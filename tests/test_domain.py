@@ -1,4 +1,7 @@
 import re
+from datetime import datetime
+
+from pyspark.sql.types import StructField, StructType
 
 from bidflow import shared
 from bidflow.checks.domain import Domain
@@ -58,3 +61,56 @@ def test_names_of_places_are_not_shuffled_with_the_lines(spark, tmp_path):
         (3, 10, "tin, small", "USD", "CHINA", "ASIA", 8),
         (4, None, None, "USD", "CHINA", "ASIA", 8),
     ]
+
+
+def test_rows_that_are_read_once_are_not_written_first(spark, tmp_path, monkeypatch):
+    """As derived, with the types of the table, until somebody has stored them; then as stored."""
+    spark.range(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = []
+
+    def errors(self):
+        made.append("errors")
+        rows = "1 as id, 2 as source_id, null as job_id, 'error' as severity, 'm' as message, null as details"
+        times = "timestamp '2024-01-01' as occurred_at, timestamp '2024-01-01' as created_at"
+        return spark.sql(f"select {rows}, {times}")
+
+    monkeypatch.setattr(Domain, "_errors", errors)
+    written = []
+    monkeypatch.setattr(Domain, "_write", lambda self, name, *rest, was=Domain._write: (written.append(name), was(self, name, *rest)))
+    d = Domain(spark, str(tmp_path))
+    first = d.once("errors")
+    assert [(f.name, f.dataType) for f in first.schema] == [(f.name, f.dataType) for f in TABLES["errors"]]
+    assert [r.id for r in first.collect()] == [1] and written == []
+    assert d.errors.collect() == first.collect() and written == ["errors"]
+    assert d.once("errors").collect() == first.collect()
+    assert written == ["errors"] and made == ["errors"] * 2
+
+
+def test_deletes_of_stored_rows_write_them_to_the_warehouse_alone(spark, monkeypatch):
+    """Neither raw items nor bids are stored on the way to the warehouse."""
+    from bidflow.checks import storing
+
+    rows = {
+        "raw_items": [{"id": i, "source_id": 1, "payload": "p", "status": "new"} for i in (4, 5, 6)],
+        "bids": [{"id": i, "source_id": 1, "raw_item_id": i, "title": "t", "is_duplicate": False} for i in (4, 5, 7)],
+        "jobs": [{"id": i, "source_id": 1, "job_type": "harvest", "status": "done"} for i in (3, 4)],
+        "errors": [{"id": i, "source_id": 1, "job_id": i, "severity": "error", "message": "m"} for i in (3, 4)],
+    }
+    day = datetime(2024, 1, 1)
+    times = {f: day for f in ("created_at", "updated_at", "fetched_at", "occurred_at")}
+
+    def table(name):
+        schema = StructType([StructField(f.name, f.dataType) for f in TABLES[name]])
+        return spark.createDataFrame([tuple((times | r).get(f.name) for f in schema) for r in rows[name]], schema)
+
+    for name in rows:
+        monkeypatch.setattr(Domain, f"_{name}", lambda self, name=name: table(name))
+    monkeypatch.setattr(Domain, "given", lambda self, name: spark.range(1))
+    written = []
+    monkeypatch.setattr(Domain, "_write", lambda self, name, *rest, was=Domain._write: (written.append(name), was(self, name, *rest)))
+    got = storing.deletes_of_stored_rows(Domain(spark, "deletes"))
+    assert sorted(map(tuple, got.collect())) == [
+        ("bids", 4, 4), ("bids", 5, None), ("bids", 7, 7), ("errors", 3, None), ("errors", 4, 4),
+        ("jobs", 4, 1), ("raw_items", 4, 1), ("raw_items", 6, 1),
+    ]
+    assert written == []
