@@ -801,3 +801,52 @@ def test_texts_of_a_crowd_meet_others_than_its_leader(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {i: (i - i % 2, 1) for i in range(16)}
+
+
+def test_parities_differ_in_no_more_bins_than_words():
+    rng = np.random.default_rng(17)
+    for _ in range(200):
+        a = rng.integers(0, int(rng.choice([20, 1 << 40])), int(rng.integers(1, 2000)), dtype=np.uint64)
+        b = a.copy()
+        b[rng.choice(len(a), len(a) // 5, replace=False)] = rng.integers(0, 1 << 40, dtype=np.uint64)
+        b = b[: len(b) - int(rng.integers(len(b)))]
+        x, y = near_dedup.parities(a), near_dedup.parities(b)
+        assert len(x) == near_dedup.PARITY_LONGS
+        bins = sum(int(n).bit_count() for n in (x ^ y).view(np.uint64))
+        assert bins <= len(a) + len(b) - 2 * near_dedup.words_in_common(a, b)
+
+
+def test_texts_of_some_ids(spark):
+    """Ids of either sign, copies and others that have the same bit."""
+    near = near_dedup.ID_BITS
+    rows = [(i, bytes([i % 7])) for i in (-5, -5, 3, 3 + near, 9, -near, 1 << 62)]
+    texts = spark.createDataFrame(rows, "id bigint, words binary")
+    ids = spark.createDataFrame([(i,) for i in (-5, 3, -near, 1 << 62, 77)], "id bigint")
+    assert sorted(r.id for r in near_dedup.of_ids(texts, ids).collect()) == [-near, -5, 3, 1 << 62]
+    assert near_dedup.of_ids(texts, ids.limit(0)).count() == 0
+
+
+def test_crowds_around_a_base_give_no_pairs_of_unlike_texts(spark, monkeypatch):
+    """Each has 18 % of a base's words replaced: two have 67 % in common and agree in more draws than is asked for."""
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    rng = np.random.default_rng(18)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(40):
+        text = base[:]
+        for at in rng.choice(300, 54, replace=False):
+            text[at] = f"u{k}x{at}"
+        texts.append(text)
+    # Two of them that are alike.
+    texts.append([w if i % 10 else f"z{i}" for i, w in enumerate(texts[7])])
+    compared, confirmed = [], near_dedup.confirmed
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return confirmed(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(40)} | {40: 7}
+    assert len(compared) == 3 and compared[2] <= 20
