@@ -191,6 +191,25 @@ def test_a_common_passage_is_no_meeting_point(spark):
     assert lying.where("count > 1").count() == 0
 
 
+def test_texts_without_a_possible_partner_are_left_out(spark, monkeypatch):
+    texts = [words_of(1, 80) + words_of(100 + i, 30) for i in range(60)]
+    texts += [words_of(7, 90), [*words_of(7, 90)[:-1], "other"], words_of(7, 90), ["two", "words"], ["two", "words", "more"], ["x"]]
+    monkeypatch.setattr(near, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(near, "PART_BYTES", 500)
+    rows = [(i, "g", " ".join(text)) for i, text in enumerate(texts)] + [(70, "h", " ".join(words_of(7, 90))), (71, "g", ""), (72, "g", None)]
+    # Rows of one key are one text.
+    rows += [rows[0], (73, "g", "x y z x y z"), (73, "g", "x y z x y z")]
+    frame = spark.createDataFrame(rows, "key long, gate string, text string").repartition(5)
+    assert sorted(r.key for r in near.likely_texts(frame, 0.8).collect()) == [60, 61, 62, 71, 72]
+    # What is compared further are those only.
+    seen = []
+    points = near.meeting_points
+    monkeypatch.setattr(near, "meeting_points", lambda rows, *args: seen.append(rows.count()) or points(rows, *args))
+    got = {r.id: r.group_id for r in near.near_duplicates(R.bids(spark, [{"description": " ".join(t)} for t in texts])).collect()}
+    assert got == expected_groups(texts, ["A"] * len(texts), 0.8)
+    assert seen == [2]
+
+
 def test_near_duplicates_respect_prices_and_fold_floods_of_copies(spark):
     text = " ".join(words_of(5, 60))
     data = [{"description": text, "price_value": Decimal(100)} for _ in range(300)]
