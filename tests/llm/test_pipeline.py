@@ -1,6 +1,7 @@
 """The queries and the pipeline on the smallest given tables, against brute force where there is no SQL."""
 
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -125,3 +126,27 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
             (tmp_path / part.relative_to(root)).symlink_to(part)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin"})
+
+
+def test_what_led_to_the_classes_goes_with_its_shuffles(spark, monkeypatch, tmp_path):
+    from bidflow import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    docs = common.table(spark, SMALL, "documents").select(*COLUMNS)
+    kept = stages.drop_near_duplicates(spark, docs, SMALL)
+    assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "bidflow").iterdir()] == ["near-kept"]
+    assert 0 < kept.count() < docs.count()
+
+    def shuffled():
+        return len(list(Path(spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")).glob("blockmgr-*/*/shuffle_*.data")))
+
+    rows = spark.range(1000).repartition(7)
+    before = shuffled()
+    counts = shared.staged(rows.groupBy(F.col("id") % 10).count(), "counts")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and counts.count() == 10
+    # Other actions keep theirs, as the session has it.
+    assert spark.conf.get(shared.SHUFFLES_GO) == "false"
