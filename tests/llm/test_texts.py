@@ -850,3 +850,48 @@ def test_crowds_around_a_base_give_no_pairs_of_unlike_texts(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {i: i for i in range(40)} | {40: 7}
     assert len(compared) == 3 and compared[2] <= 20
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_texts_of_a_crowd_meet_whatever_follows_the_drawn_word(spark, monkeypatch, block):
+    """Every fifth word is replaced, so no eight words in a row are the same; buckets are crowds from two texts on."""
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ROWS", 2)
+    rows = []
+    for pair in range(6):
+        own = [f"u{pair}x{i}" for i in range(60 + 10 * pair)]
+        changed = [w if (i + 1) % 5 else f"{w}y" for i, w in enumerate(own)]
+        rows += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(changed))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(12)}
+
+
+def test_cells_of_a_crowd_hold_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS", 3)
+    rng = np.random.default_rng(19)
+    base = rng.integers(0, 1 << 40, 400, dtype=np.uint64)
+    texts = []
+    for _ in range(60):
+        text = base[: int(rng.integers(200, 400))].copy()
+        text[rng.random(len(text)) < rng.choice([0.05, 0.1, 0.2])] = rng.integers(0, 1 << 40, dtype=np.uint64)
+        texts.append(text)
+    rows = {
+        "id": rng.permutation(60), "n": np.array([len(t) for t in texts]), "class": rng.integers(0, 4, 60),
+        "near": np.array([near_dedup.signature(near_dedup.drawn(t)[1]).view(np.uint64) for t in texts]),
+        "parities": [near_dedup.fitted(t).view(np.uint64) for t in texts],
+    }
+    assert len({len(p) for p in rows["parities"]}) > 1
+    rows["major"] = rows["class"] == 0
+    left = np.flatnonzero(~rows["major"])
+    got = [(int(x), int(y)) for a, b in near_dedup.alike_in(rows, left, np.arange(60), 0.8) for x, y in zip(a, b, strict=True)]
+    wanted = set()
+    for i in range(60):
+        for j in range(60):
+            alike = near_dedup.words_in_common(texts[i], texts[j]) >= 0.8 * max(len(texts[i]), len(texts[j]))
+            if rows["class"][i] != rows["class"][j] and rows["id"][i] > rows["id"][j] and alike:
+                wanted.add((int(rows["id"][i]), int(rows["id"][j])))
+    found = {(max(p), min(p)) for p in got}
+    assert len(found) == len(got) and len(wanted) > 100
+    assert len(wanted - found) <= 0.01 * len(wanted)
