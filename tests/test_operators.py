@@ -463,3 +463,22 @@ def test_several_dedup_strategies_write_keys_only(spark, monkeypatch):
     assert marked[0].dedup_key != marked[1].dedup_key and marked[2].dedup_key == marked[3].dedup_key
     assert written == [{"id", "created_at", "_key0", "_key1", "_key2"}]
     assert not any(r.is_duplicate or r.dedup_key for r in dedup.mark_by_all(R.bids(spark, rows), []).collect())
+
+
+def test_keys_of_several_strategies_are_gone_once_marked(spark, tmp_path, monkeypatch):
+    """What marking writes on the way, the keys of all rows above all, does not stay; keys come out as ``dedup_key`` gives them."""
+    from bidflow import shared
+    from bidflow.functions.keys import dedup_key
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    df = R.bids(spark, [{"title": f"t{i % 3}", "contact_phone": None if i % 4 else "+79"} for i in range(12)])
+    how = [{"keys": ["title", "contact_phone"], "null_policy": "equal"}, {"keys": ["contact_phone"], "null_policy": "skip"}]
+    got = dedup.mark_by_all(df, how)
+    left = sorted(p.name.split("-")[0] for p in (tmp_path / "bidflow").iterdir())
+    assert left == ["groups", "groups"]
+    keys = df.select("id", dedup_key(df, ["title", "contact_phone"], "equal").alias("a"), dedup_key(df, ["contact_phone"]).alias("b"))
+    keys = {r.id: (r.a, r.b) for r in keys.collect()}
+    rows = {r.id: r for r in got.collect()}
+    assert rows[1].dedup_key == keys[1][0] and not rows[1].is_duplicate
+    assert rows[5].is_duplicate and rows[5].dedup_key == keys[5][1]
+    assert all(len(r.dedup_key) == 64 for r in rows.values())
