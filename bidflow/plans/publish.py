@@ -24,6 +24,7 @@ from bidflow import schemas
 from bidflow.functions.keys import item_key
 from bidflow.plans.commits import LOG_FILES, Commits, Conflict
 from bidflow.schemas import FOREIGN_KEYS
+from bidflow.shared import COMPRESSION, shuffles_gone
 
 # Keys of stored raw items, so that harvesting again need not read their payloads.
 KEYS = T.StructType([T.StructField("source_id", T.LongType()), T.StructField("key", T.StringType())])
@@ -121,16 +122,18 @@ class Warehouse:
         Columns the table does not have are stored, too, but only ``staged`` reads them.
         """
         parted = rows.withColumn("created_part", F.to_date("created_at"))
-        (
-            (parted if one_day else parted.hint("rebalance", F.col("created_part")))
-            .sortWithinPartitions("created_part", "source_id", "created_at")
-            .write.mode("overwrite")
-            .partitionBy("created_part")
-            .parquet(self._path(table, batch_id))
+        laid_out = (parted if one_day else parted.hint("rebalance", F.col("created_part"))).sortWithinPartitions(
+            "created_part", "source_id", "created_at"
         )
+        self._write(laid_out, self._path(table, batch_id), "created_part")
         if table == "raw_items":
             keys = self.staged(table, batch_id).select("source_id", item_key().alias("key"))
-            keys.write.mode("overwrite").parquet(self._path("raw_keys", batch_id))
+            self._write(keys, self._path("raw_keys", batch_id))
+
+    def _write(self, rows: DataFrame, path: str, *parts: str) -> None:
+        """Write rows to a path of this attempt, in a folder for each value of ``parts``; the shuffles they come from go with it."""
+        with shuffles_gone(self.spark):
+            rows.write.mode("overwrite").option("compression", COMPRESSION).partitionBy(*parts).parquet(path)
 
     def staged(self, table: str, batch_id: str, more: Iterable[str] = ()) -> DataFrame:
         """One table's part of a batch as written; ``more`` names text columns that were stored beside its own."""
@@ -141,7 +144,7 @@ class Warehouse:
     def stage_deletes(self, batch_id: str, table: str, rows: DataFrame) -> bool:
         """Delete stored rows (batch_id, id) with the commit of a batch; False when there are none."""
         path = self._path(f"deleted/{table}", batch_id)
-        rows.select("batch_id", "id").write.mode("overwrite").parquet(path)
+        self._write(rows.select("batch_id", "id"), path)
         counts = self._read(IDS, path).groupBy("batch_id").agg(F.count("*").alias("n")).collect()
         found = [{"table": table, "batch_id": r["batch_id"], "n": r["n"], "path": path} for r in counts]
         self._changes[batch_id]["deletes"] += found

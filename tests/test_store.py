@@ -2,8 +2,10 @@
 
 import itertools
 import json
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -583,3 +585,32 @@ def test_outcomes_of_no_rows(spark, warehouse):
     assert not harvest_with_outcomes(warehouse, src, none, src.where("false").select("code"), "b2", NOW)
     with pytest.raises(ValueError, match="not found"):
         harvest_with_outcomes(warehouse, src, none, spark.createDataFrame([("q",)], "code string"), "b3", NOW)
+
+
+def test_shuffles_of_a_batch_and_what_refining_writes_go(spark, warehouse, tmp_path, monkeypatch):
+    from bidflow import shared
+
+    def shuffled():
+        return len(list(Path(spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")).glob("blockmgr-*/*/shuffle_*.data")))
+
+    src = raw_of(spark, warehouse, "b1", 4)
+    before = shuffled()
+    warehouse.stage("bids", "b2", warehouse.read("bids").repartition(7))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert list(tmp_path.rglob("bids/**/*.zstd.parquet"))
+    # When the new bids are written, what refining has written is gone.
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path / "between"))
+    seen, stage = [], Warehouse.stage
+
+    def watched(self, table, *more, **options):
+        seen.append((table, {p.name.split("-")[0] for p in (tmp_path / "between" / "bidflow").iterdir()}))
+        return stage(self, table, *more, **options)
+
+    monkeypatch.setattr(Warehouse, "stage", watched)
+    assert reprocess(warehouse, ["b1"], "r1", src, no_places(spark), configuration(spark, config_classifier=ANY), NOW)
+    assert seen[0][0] == "bids" and "rebuilt" in seen[0][1] and not seen[0][1] & {"judged", "groups"}
+    assert [r.id for r in warehouse.read("bids").orderBy("id").collect()] == [1, 2, 3, 4]
